@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import language, simhash
+from pageloom.llm import language, packing, simhash
 from pageloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(language.training_rows(docs.where(~language.held_out())))
@@ -22,7 +26,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op6_best_fit_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
