@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import language, packing, personal, simhash
+from pageloom.llm import language, packing, personal, secrets, simhash
 from pageloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(language.training_rows(docs.where(~language.held_out())))
@@ -32,11 +36,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op6_best_fit_packing, op9_language_id)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op6_best_fit_packing, op7_secret_scan, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql: dict[str, str] = {}
+    sql = {"op7_secret_scan": secrets.sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
