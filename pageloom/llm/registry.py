@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import language, licenses, packing, personal, secrets, simhash
+from pageloom.llm import language, licenses, media, packing, personal, secrets, simhash
 from pageloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op6_best_fit_packing, op7_secret_scan, op9_language_id)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
