@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import language, licenses, media, packing, personal, secrets, simhash
+from pageloom.llm import embeddings, language, licenses, media, packing, personal, secrets, simhash
 from pageloom.llm.common import table
 
 
@@ -41,10 +41,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op9_language_id)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op9_language_id, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
