@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import embeddings, language, licenses, media, packing, personal, secrets, simhash
+from pageloom.llm import embeddings, html_text, language, licenses, media, packing, personal, secrets, simhash
 from pageloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(language.training_rows(docs.where(~language.held_out())))
@@ -48,7 +52,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op9_language_id, op10_embedding_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op8_html_extraction, op9_language_id, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
