@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import embeddings, html_text, language, licenses, media, packing, personal, secrets, simhash
+from pageloom.llm import embeddings, html_text, language, licenses, media, packing, personal, pieces, secrets, simhash
 from pageloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op8_html_extraction, op9_language_id, op10_embedding_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_personal_data, op2_simhash_dedup, op3_sentencepiece, op4_license_scan, op5_media_columns, op6_best_fit_packing, op7_secret_scan, op8_html_extraction, op9_language_id, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
