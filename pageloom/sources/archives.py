@@ -91,17 +91,17 @@ def fetched(candidates: DataFrame, fetch: Callable[[str], tuple[bytes | None, bo
     return candidates.select("arxiv_id").mapInArrow(run, "arxiv_id string, content binary, permanent boolean, error string")
 
 
+FEED = "entry array<struct<id:string,title:string,published:string,updated:string,category:array<struct<_term:string>>>>"
+
+
 def atom_entries(feeds: DataFrame, year: int) -> DataFrame:
     """``feeds`` (position, xml) -> entries of the year in feed order: arxiv_id, title, categories, update_date, created."""
     squeeze = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    local = lambda n: f"*[local-name()='{n}']"
-    plain = feeds.select("position", "xml", F.expr(f"cast(xpath_number(xml, \"count(//{local('entry')})\") as int)").alias("n")).where("n > 0")
-    rows = plain.select("position", "xml", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    one = lambda path: F.xpath_string("xml", F.concat(F.lit(f"(//{local('entry')})["), F.col("k").cast("string"), F.lit(f"]/{path}")))
-    terms = F.xpath("xml", F.concat(F.lit(f"(//{local('entry')})["), F.col("k").cast("string"), F.lit(f"]/{local('category')}/@term")))
-    last = F.substring_index(F.regexp_replace(squeeze(one(local("id"))), "/+$", ""), "/", -1)
+    rows = feeds.select("position", F.posexplode(F.from_xml("xml", FEED)["entry"]).alias("k", "e"))
+    last = F.substring_index(F.regexp_replace(squeeze(F.col("e.id")), "/+$", ""), "/", -1)
+    terms = F.filter(F.col("e.category._term"), lambda t: t.isNotNull() & (t != ""))
     out = rows.select(
-        "position", "k", F.regexp_replace(last, r"v\d+$", "").alias("arxiv_id"), squeeze(one(local("title"))).alias("title"),
-        F.array_join(F.filter(terms, lambda t: t != ""), " ").alias("categories"), F.substring(squeeze(one(local("updated"))), 1, 10).alias("update_date"), squeeze(one(local("published"))).alias("created"),
+        "position", "k", F.regexp_replace(last, r"v\d+$", "").alias("arxiv_id"), squeeze(F.col("e.title")).alias("title"),
+        F.array_join(terms, " ").alias("categories"), F.substring(squeeze(F.col("e.updated")), 1, 10).alias("update_date"), squeeze(F.col("e.published")).alias("created"),
     )
     return out.where(F.col("arxiv_id").rlike(r"^\d{4}\.\d{4,5}(v\d+)?$") & ((F.col("created") == "") | F.col("created").startswith(f"{year}-")))
