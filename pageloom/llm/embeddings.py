@@ -186,3 +186,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, margin: float
     linked = good.join(named, good["embedding"] == named["vector"]).select("vec_id", "n_links", "component_id")
     alone = all_rows.where("not able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def sql() -> str:
+    """DuckDB SQL that compares all pairs."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    good AS (
+      SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+    reach AS (SELECT DISTINCT vec_id AS node, vec_id AS other FROM v UNION SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.other),
+    n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u), c AS (SELECT node AS vec_id, min(other) AS component_id FROM reach GROUP BY node)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"""

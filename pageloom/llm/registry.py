@@ -62,5 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {"op4_license_scan": licenses.sql(), "op7_secret_scan": secrets.sql()}
+    sql = {"op4_license_scan": licenses.sql(), "op7_secret_scan": secrets.sql(), "op10_embedding_dedup": embeddings.sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -1,9 +1,9 @@
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
-from oracle import frames  # noqa: F401
+from oracle import frames
 
-from pageloom.llm import embeddings
+from pageloom.llm import embeddings, registry
 
 SF = "/root/testdata/check_s"
 
@@ -50,6 +50,11 @@ def test_small_table_with_odd_vectors(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(odd).collect()] == [(0, None, False)] * 2
 
 
+def test_query_equals_sql(spark):
+    got, want = frames(spark, "op10_embedding_dedup", registry.queries(), registry.oracle_sql(), "/root/testdata/sf0.1")
+    assert got == want and len(got) == 2000
+
+
 def test_recall_and_precision_on_a_whole_table(spark):
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = frame.select("vec_id", "embedding").collect()
