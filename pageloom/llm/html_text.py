@@ -46,15 +46,16 @@ BLOCKS = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 PARTS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus",
-    "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "recommended", "related", "replies",
-    "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "adbox", "adslot", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist",
+    "comments", "consent", "cookie", "cookies", "disclaimer", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
+    "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply",
+    "respond", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
 
 #: Possessive, so that a tag that never ends costs one pass over it.
 _TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?+|["'])*+)>|<[!?][^>]*>""")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-_WORD = re.compile(r"[A-Za-z][a-z]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _URL = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 

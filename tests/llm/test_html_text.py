@@ -33,6 +33,10 @@ def test_parts_that_are_no_article():
     assert H.text_of(H.page_lines("<p>b</p><div cla")) == "b" and H.page_lines("") == []
     assert H.text_of(H.page_lines("<main><p class='share'>no</p><p>yes</main>")) == "yes"
     assert H.text_of(H.page_lines('<div title="a > b">x</div>')) == "x"
+    parts = ("adBox", "ADS", "site-notice", "comment-list", "commentlist", "cookie_banner", "right-sidebar", "newsletter-signup", "main-menu", "related posts")
+    for part in parts:
+        assert H.text_of(H.page_lines(f'<div class="{part}"><p>no</p></div><article><p>yes<div id="{part}">no</div></p></article>')) == "yes"
+    assert H.text_of(H.page_lines('<div class="story-body"><p>a shadow</p></div><form><p>no</p></form>')) == "a shadow"
     assert H.text_of(H.page_lines("<p>x</p><a " + 'b="c" ' * 5000)) == "x"
 
 
