@@ -15,8 +15,10 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,52 +32,86 @@ from pageloom.llm.common import cut
 
 SIZE = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Rows tokenized at once.
+SLICE = 1024
 #: About so many pieces share a group in which ranks are counted.
 GROUP = 512
 
 #: A text with one of these is split at blanks alone: an apostrophe starts a token of its own
 #: kind, "<" may start a special token, and characters beyond U+024F may combine or be blanks.
 _HARD = re.compile("['<\x1c-\x1f\x85\xa0]|[^\x00-ɏ]")
-_END = re.compile(r"(.*[A-Za-z])([.,])\Z", re.S)
 
 
 class WordTokens:
     """Ids of texts as little-endian 32-bit words, by a word-level BPE that drops white space.
 
     No token crosses a blank, so ids of words are kept and joined; a trailing "." or "," after a
-    letter is a token of its own and is kept apart. The cache holds at most ``most`` short words.
+    letter is a token of its own and is kept apart. A word of letters up to U+024F is one piece of
+    the model and goes to it directly, its bytes written as the model's characters; other unknown
+    words of a batch are tokenized together in lines, with a mark between words whose one id shows
+    where each ends. At most about ``most`` short words are kept; words over LONG characters are
+    tokenized anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARK, LONG, LINE = "~", 64, 512
+
+    def __init__(self, path: str, most: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.mark = self._ids(self.MARK)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100
+        hidden = [b for b in range(256) if b not in shown]
+        name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.letters = {c: "".join(name[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode(self, words: list[str]) -> None:
+        """Learn words without MARK; none is blank."""
+        for at in range(0, len(words), self.LINE):
+            some = words[at : at + self.LINE]
+            ids = self._ids(f" {self.MARK} ".join(some))
+            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            self.known.update((w, raw[4 * (i + 1) : 4 * j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False))
 
     def _learn(self, words: set[str]) -> None:
-        ends = {w: m for w in words if (m := _END.match(w)) and "'" not in w and "<" not in w}
-        bare = {m[1] for m in ends.values()} | {m[2] for m in ends.values()} | (words - ends.keys())
-        new = [w for w in bare if w not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        self.known.update({w: self.known[m[1]] + self.known[m[2]] for w, m in ends.items()})
+        known, plain, ended = self.known, set(), []
+        for w in words:
+            if len(w) > self.LONG or self.MARK in w:
+                known[w] = self._ids(w).tobytes()
+            elif w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "\x80" and "'" not in w and "<" not in w:
+                ended.append(w)
+                plain.update((w[:-1], w[-1]))
+            else:
+                plain.add(w)
+        plain.discard("")
+        rest, tokens, letters = [], self.tokenizer.model.tokenize, self.letters
+        for w in plain:
+            if w not in known:
+                low = w.lower()
+                if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+                    known[w] = array("I", [t.id for t in tokens(low.translate(letters))]).tobytes()
+                else:
+                    rest.append(w)
+        self._encode(rest)
+        known[""] = b""
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text if _HARD.search(text) else text.lower()).split(" ") if "\n" not in text and "\t" not in text and "\r" not in text else re.split("[ \n\t\r]", text if _HARD.search(text) else text.lower())
-            known = self.known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                if len(known) > self.most:
-                    known.clear()
-                long = any(len(w) > 64 for w in words)
-                if long:
-                    yield self._encode([text])[0]
-                else:
-                    self._learn({w for w in words if w not in known})
-                    yield b"".join([known[w] for w in words])
+        for at in range(0, len(texts), 256):
+            lines = [(t if _HARD.search(t) else t.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 256]]
+            new = set().union(*lines).difference(self.known)
+            if len(self.known) > self.most:
+                self.known.clear()
+                new = set().union(*lines)
+            self._learn(new)
+            yield from [b"".join([self.known[w] for w in line]) for line in lines]
+            for w in [w for w in new if len(w) > self.LONG]:
+                del self.known[w]
 
 
 _WORKER: dict[str, WordTokens] = {}
@@ -86,9 +122,9 @@ def pieces(docs: DataFrame, path: str = TOKENIZER, size: int = SIZE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORKER.setdefault(path, WordTokens(path))
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, max(1, len(whole)), SLICE)):
             rows = []
-            texts = (t.as_py() or "" for t in batch.column(1))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(texts), strict=True):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
