@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching and relaxation.
 
-Text is escaped as the model does (blank to U+2581, one in front) and cut where a word begins; no
-piece has that mark after another character, so words encode independently. The new words of a
+Text is escaped as the model does (blank to U+2581, one in front) and cut where a word begins and
+between letters and other characters; no piece has that mark after another character or holds both
+letters and others, so the parts encode independently. The new words of a
 batch are concatenated and indexed by a suffix array to the depth of the longest piece; every piece
 of the vocabulary is looked up by binary search, its range of suffixes gives its occurrences, and
 all occurrences are edges, sorted by where they end. Relaxing them in that order gives each
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_LETTER = re.compile(r"[^\W\d_]")
 #: Characters indexed at once; a longer word is indexed alone.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+#: Pairs of pieces whose fate is kept, at most.
+PAIRS = 400_000
 START, BYTES = -1, -2
 
 
@@ -56,9 +59,18 @@ class Vocabulary:
         self.letters = set("".join(self.id))
         if any(c not in self.id for c in self.letters) or any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces of letters that are no pieces, or with a mark inside, can't be matched word by word")
+        self.word = self._cuts({(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False) if a != MARK})
         self.raw = {i: p.replace(MARK, " ").encode() for i, p in self.piece.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self._apart: dict[tuple[int, int], bool] = {}
 
+    def _cuts(self, pairs: set[tuple[str, str]]) -> re.Pattern:
+        """A pattern of runs of letters and runs of others, each with the marks before it; no piece may hold both."""
+        signs = "".join(sorted(c for c in self.letters if _LETTER.match(c) and not c.isalpha()))  # such as raised digits
+        letter = lambda c: bool(_LETTER.match(c)) and c not in signs
+        if any(letter(a) != letter(b) for a, b in pairs):
+            raise ValueError("pieces that hold both letters and other characters can't be matched word by word")
+        return re.compile(rf"{MARK}*[^\W\d_{signs}]+|{MARK}*(?:[^\w{MARK}]|[\d_{signs}])+|{MARK}+")
+
     def merged(self, text: str) -> list[str]:
         """The merge rule, literally: join the neighbours of the best score, the leftmost on ties, until none joins."""
         parts = list(text)
@@ -72,6 +84,8 @@ class Vocabulary:
     def apart(self, left: int, right: int) -> bool:
         """Whether the merge rule keeps ``right`` whole and off ``left`` (an id, or START or BYTES, which never merge)."""
         key = (left, right)
+        if len(self._apart) > PAIRS:
+            self._apart.clear()
         if key not in self._apart:
             b = self.piece[right]
             self._apart[key] = self.merged(b) == [b] if left < 0 else self.merged(self.piece[left] + b) == [self.piece[left], b]
@@ -173,7 +187,7 @@ def encode_words(vocab: Vocabulary, words: list[str]) -> list[list[int]]:
 class Encoder:
     """Ids of texts; words are kept, at most about ``most`` of them, words over ``longest`` characters never."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 350_000, longest: int = 64):
         self.vocab, self.most, self.longest, self.known = Vocabulary(path), most, longest, {}
 
     def _learn(self, words: list[str]) -> None:
@@ -186,10 +200,10 @@ class Encoder:
                 some.append(w)
                 size += len(w) + 1
 
-    def encode(self, texts: list[str], group: int = 4096) -> Iterator[bytes]:
+    def encode(self, texts: list[str], group: int = 256) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         for at in range(0, len(texts), group):
-            lines = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : at + group]]
+            lines = [self.vocab.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : at + group]]
             new = set(chain.from_iterable(lines)).difference(self.known)
             if len(self.known) > self.most:
                 self.known.clear()
@@ -214,8 +228,8 @@ def _encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def encode(docs: DataFrame, path: str = MODEL, rows: int = 2048) -> DataFrame:
-    """``docs`` (doc_id, text) -> (doc_id, text_sha256, ids)."""
+def encode(docs: DataFrame, path: str = MODEL, rows: int = 512) -> DataFrame:
+    """``docs`` (doc_id, text) -> (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -226,10 +240,9 @@ def encode(docs: DataFrame, path: str = MODEL, rows: int = 2048) -> DataFrame:
                 raw = list(encoder.encode(texts))
                 flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 ends = np.r_[0, np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)].astype(np.int32)
-                sums = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sums, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "text_sha256", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_sha256 string, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -246,20 +259,22 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     return kept.mapInArrow(run, f"{fields}, text string")
 
 
-def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, decoded_sha256, round_trip): ids little-endian for the checksum; decoded from the ids."""
-    fields = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+def digest(docs: DataFrame, path: str = MODEL, rows: int = 512) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, decoded_sha256, round_trip): ids little-endian for the checksum; decoded from the ids.
+
+    Encodes and decodes in one worker, so that ids don't travel.
+    """
+    names = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
-            out = []
-            for doc_id, text_sum, ids in zip(batch.column("doc_id").to_pylist(), batch.column("text_sha256").to_pylist(), batch.column("ids"), strict=True):
-                values = ids.values.to_numpy()
-                done = hashlib.sha256(encoder.decode(values.tolist()).encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc_id, len(values), zlib.crc32(values.astype("<i4").tobytes()), done, done == text_sum))
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, max(1, len(whole)), rows)):
+            texts, out = [t or "" for t in batch.column(1).to_pylist()], []
+            for doc_id, text, raw in zip(batch.column(0).to_pylist(), texts, encoder.encode(texts), strict=True):
+                back = encoder.decode(np.frombuffer(raw, "<i4").tolist())
+                out.append((doc_id, len(raw) // 4, zlib.crc32(raw), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return encode(docs, path).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
