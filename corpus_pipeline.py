@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import language, packing, personal, simhash
+from pageloom.llm import jaccard, language, packing, personal
 from pageloom.llm.common import ensure_checkpoint_dir
 
 #: Language models, a tagger and bin packing can't be stated in SQL; tests hold the stages against brute force.
@@ -29,11 +29,12 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the group's smallest doc_id.
 
+    Near duplicates share 0.8 of their five-word shingles (``jaccard``), or are linked by such.
     Of rows that share that doc_id one stays. Rows without doc_id can't be told from others by it
     and stay, equal texts among them once.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    found = jaccard.groups(docs)
+    first = found.groupBy("root").agg(F.min("low").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
