@@ -30,13 +30,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One row of each group of near duplicates: that of the group's smallest doc_id.
 
     Near duplicates share 0.8 of their five-word shingles (``jaccard``), or are linked by such.
-    Of rows that share that doc_id one stays. Rows without doc_id can't be told from others by it
-    and stay, equal texts among them once.
+    A row is told from others by its doc_id and text, so rows of one doc_id with other texts are
+    judged by their own groups. Of a group's rows that share the smallest doc_id, the one with the
+    least hash of text stays; a row without doc_id stays only if its group has no other.
     """
-    found = jaccard.groups(docs)
-    first = found.groupBy("root").agg(F.min("low").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    key = F.struct(F.col("low").isNull().alias("none"), "low", "mark")
+    first = jaccard.groups(docs).groupBy("root").agg(F.min(key).alias("key")).select(F.col("key.low").alias("_low"), F.col("key.mark").alias("_mark"))
+    same = (jaccard.mark() == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_low"))
+    return docs.join(first, same).dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

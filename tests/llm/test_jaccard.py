@@ -59,3 +59,13 @@ def test_links_span_what_all_pairs_give():
         assert near(a, b)
         label = [label[a] if x == label[b] else x for x in label]
     assert all(label[i] == label[j] for i in range(len(sets)) for j in range(i) if near(i, j))
+
+
+def test_rows_are_told_apart_by_doc_id_and_text(spark):
+    """Rows of one doc_id in two groups, and near copies without doc_id."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(900)], k=200)) for _ in range(3))
+    rows = [(7, a), (7, b), (7, b), (9, b + " more"), (None, c), (None, c + " more"), (None, c), (None, a + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text.removesuffix(" more")) for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(7, a), (7, b), (None, c)], key=repr)
