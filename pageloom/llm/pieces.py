@@ -2,14 +2,17 @@
 
 Text is escaped as the model does (blank to U+2581, one in front) and cut where a word begins and
 between letters and other characters; no piece has that mark after another character or holds both
-letters and others, so the parts encode independently. The new words of a
-batch are concatenated and indexed by a suffix array to the depth of the longest piece; every piece
-of the vocabulary is looked up by binary search, its range of suffixes gives its occurrences, and
-all occurrences are edges, sorted by where they end. Relaxing them in that order gives each
-position the last piece of its prefix's encoding.
+letters and others, so the parts encode independently. The distinct words of each batch are
+concatenated and indexed by a suffix array to the depth of the longest piece; every piece of the
+vocabulary is looked up by binary search, its range of suffixes gives its occurrences, and all
+occurrences are edges, sorted by where in their word they end. Relaxing them in that order, all words
+at once, gives each position the last piece of its prefix's encoding. Nothing is carried over from
+batch to batch but the fate of pairs of pieces (at most ``PAIRS`` of them).
 
 The model is a byte-pair encoding, so a path of least cost would be wrong: the relaxation admits an
-edge only if the two neighbouring pieces, encoded together by the merge rule, stay apart. As merges
+edge only if the two neighbouring pieces, encoded together by the merge rule, stay apart. Whether they
+do follows from the trees of their merges: undone from the last merge back, the nodes that meet at the
+boundary must never form a piece of a better score than what the merge rule did next. As merges
 inside a prefix don't depend on what follows, exactly one edge is admitted at a position, and the
 result is the encoding of the model itself. Characters without a piece become byte pieces.
 
@@ -23,8 +26,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,15 +38,15 @@ from pyspark.sql import functions as F
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
-#: Characters indexed at once; a longer word is indexed alone.
-CHUNK = 1 << 18
-#: Pairs of pieces whose fate is kept, at most.
-PAIRS = 400_000
-START, BYTES = -1, -2
+#: Characters of a batch of texts, and of words indexed at once; a longer text or word is taken alone.
+BATCH, CHUNK = 1 << 22, 1 << 19
+#: Places for pairs of pieces whose fate is kept; a pair takes the place of another of the same hash.
+PAIRS = 1 << 20
+NONE, START, BYTES = -3, -1, -2
 
 
 class Vocabulary:
-    """Pieces and scores of a model file."""
+    """Pieces of a model file, the trees of their merges, and tables by which they are looked up."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -60,8 +63,19 @@ class Vocabulary:
         if any(c not in self.id for c in self.letters) or any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces of letters that are no pieces, or with a mark inside, can't be matched word by word")
         self.word = self._cuts({(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False) if a != MARK})
-        self.raw = {i: p.replace(MARK, " ").encode() for i, p in self.piece.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self.raw = [b""] * n
+        for i, p in self.piece.items():
+            self.raw[i] = p.replace(MARK, " ").encode()
+        for b, i in self.byte.items():
+            self.raw[i] = bytes([b])
+        self.size = np.ones(n, np.int64)
+        self.size[normal] = [len(self.piece[i]) for i in normal]
+        self._grow(n)
+        self.seen, self.fate = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        common = Counter(c for p in self.id for c in set(p))
+        common = sorted(common, key=lambda c: (not c.isascii(), -common[c], c))[:255]
+        self.narrow, self.rare = Patterns(self, sorted(common), 8), self.letters.difference(common)
+        self.wide = Patterns(self, sorted(self.letters), 16) if len(self.letters) > 255 else self.narrow
 
     def _cuts(self, pairs: set[tuple[str, str]]) -> re.Pattern:
         """A pattern of runs of letters and runs of others, each with the marks before it; no piece may hold both."""
@@ -71,41 +85,87 @@ class Vocabulary:
             raise ValueError("pieces that hold both letters and other characters can't be matched word by word")
         return re.compile(rf"{MARK}*[^\W\d_{signs}]+|{MARK}*(?:[^\w{MARK}]|[\d_{signs}])+|{MARK}+")
 
-    def merged(self, text: str) -> list[str]:
-        """The merge rule, literally: join the neighbours of the best score, the leftmost on ties, until none joins."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
+        """The merge rule, literally: join the neighbours of the best score, the leftmost on ties, until none joins.
+
+        Returns the parts and the merges in their order.
+        """
+        parts, merges = list(text), []
         while True:
             best = max(((self.score[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.id), default=None)
             if best is None:
-                return parts
+                return parts, merges
             k = -best[1]
+            merges.append((parts[k], parts[k + 1]))
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def apart(self, left: int, right: int) -> bool:
-        """Whether the merge rule keeps ``right`` whole and off ``left`` (an id, or START or BYTES, which never merge)."""
-        key = (left, right)
-        if len(self._apart) > PAIRS:
-            self._apart.clear()
-        if key not in self._apart:
-            b = self.piece[right]
-            self._apart[key] = self.merged(b) == [b] if left < 0 else self.merged(self.piece[left] + b) == [self.piece[left], b]
-        return self._apart[key]
+    def _grow(self, n: int) -> None:
+        """Trees: the two parts of each piece's last merge and its score; and which two pieces make which."""
+        self.born, self.left, self.right = np.full(n, np.inf), np.full(n, -1), np.full(n, -1)
+        self.own: list[int] = []
+        joins = []
+        for p, i in self.id.items():
+            parts, merges = self.merged(p)
+            if parts != [p]:
+                continue  # never the result of an encoding
+            self.own.append(i)
+            scores = [self.score[a + b] for a, b in merges]
+            if scores != sorted(scores, reverse=True):
+                raise ValueError("merges that don't fall in score can't be undone one by one")
+            if merges:
+                self.born[i], self.left[i], self.right[i] = scores[-1], self.id[merges[-1][0]], self.id[merges[-1][1]]
+            joins += [(self.id[p[:k]] << 32 | self.id[p[k:]], self.score[p]) for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
+        joins.sort()
+        self.join_key, self.join_score = np.array([k for k, _ in joins], np.int64), np.array([s for _, s in joins])
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merge rule keeps each pair of pieces apart."""
+        key = left << 32 | right
+        place = (key ^ key >> 29) * 0x9E3779B1 >> 7 & PAIRS - 1
+        ok = self.fate[place]
+        new = np.flatnonzero(self.seen[place] != key)
+        if len(new):
+            some, back = np.unique(key[new], return_inverse=True)
+            ok[new] = fate = self._apart(some >> 32, some & 0xFFFFFFFF)[back]
+            self.seen[place[new]] = key[new]
+            self.fate[place[new]] = fate
+            clash = self.seen[place[new]] != key[new]  # two new pairs in one place: the last stays, with its own fate
+            if clash.any():
+                self.fate[place[new[~clash]]] = fate[~clash]
+        return ok
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out, todo = np.ones(len(left), bool), np.arange(len(left))
+        ends_left, ends_right = np.full(len(left), -np.inf), np.full(len(left), -np.inf)
+        while len(todo):
+            key = left << 32 | right
+            at = np.minimum(np.searchsorted(self.join_key, key), len(self.join_key) - 1)
+            score = np.where(self.join_key[at] == key, self.join_score[at], -np.inf)
+            # among equal scores the leftmost merges: inside the left piece, then across, then inside the right
+            joined = (score > ends_left) & (score >= ends_right) & (self.join_key[at] == key)
+            out[todo[joined]] = False
+            a, b = self.born[left], self.born[right]
+            on = ~joined & np.isfinite(np.minimum(a, b))
+            back = b <= a  # the right piece's merge is the later one
+            ends_right, ends_left = np.where(back, b, ends_right)[on], np.where(back, ends_left, a)[on]
+            left, right, todo = np.where(back, left, self.right[left])[on], np.where(back, self.left[right], right)[on], todo[on]
+        return out
 
 
-class SuffixIndex:
-    """Suffixes of ``codes`` (0: separator), sorted by their first ``depth`` characters."""
+class Patterns:
+    """The pieces of some letters, as numbers of ``bits`` a character, and the keys between which their suffixes lie."""
 
-    def __init__(self, codes: np.ndarray, depth: int, bits: int):
-        self.per = 64 // bits
-        self.bits, self.keys = bits, []
-        line = np.r_[codes, np.zeros(-(-depth // self.per) * self.per, codes.dtype)].astype(np.uint64)
-        for at in range(0, depth, self.per):
-            key = np.zeros(len(codes), np.uint64)
-            for k in range(self.per):
-                key = key << np.uint64(bits) | line[at + k : at + k + len(codes)]
-            self.keys.append(key)
-        self.order = np.lexsort(self.keys[::-1])
-        self.keys = [k[self.order] for k in self.keys]
+    def __init__(self, vocab: Vocabulary, letters: list[str], bits: int):
+        self.bits, self.per = bits, 64 // bits
+        self.code = np.zeros(0x110000, np.uint16)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        known = set(letters)
+        named = sorted((p, vocab.id[p]) for p in map(vocab.piece.__getitem__, vocab.own) if known.issuperset(p))
+        self.ids = np.array([i for _, i in named], np.int64)
+        self.sizes = np.array([len(p) for p, _ in named], np.int64)
+        self.longest = int(self.sizes.max())
+        codes = [self.code[[ord(c) for c in p]].tolist() for p, _ in named]
+        self.bounds = [tuple(np.array(b, np.uint64) for b in zip(*(self._bounds(p[at : at + self.per]) for p in codes), strict=True)) for at in range(0, self.longest, self.per)]
 
     def _bounds(self, codes: list[int]) -> tuple[int, int]:
         """The least and the greatest key that start with ``codes``."""
@@ -115,107 +175,148 @@ class SuffixIndex:
         free = self.bits * (self.per - len(codes))
         return low << free, (low << free) | ((1 << free) - 1)
 
-    def ranges(self, patterns: list[list[int]]) -> list[tuple[int, int]]:
-        """For each pattern the range of sorted suffixes that start with it, by binary search."""
-        first = [self._bounds(p[: self.per]) for p in patterns]
-        lows = np.searchsorted(self.keys[0], np.array([b[0] for b in first], np.uint64), "left")
-        highs = np.searchsorted(self.keys[0], np.array([b[1] for b in first], np.uint64), "right")
-        out = []
-        for p, lo, hi in zip(patterns, lows.tolist(), highs.tolist(), strict=True):
-            for k in range(1, len(self.keys)):
-                if lo >= hi or len(p) <= k * self.per:
-                    break
-                a, b = self._bounds(p[k * self.per : (k + 1) * self.per])
-                part = self.keys[k][lo:hi]
-                lo, hi = lo + int(np.searchsorted(part, np.uint64(a), "left")), lo + int(np.searchsorted(part, np.uint64(b), "right"))
-            out.append((lo, hi))
-        return out
 
+class SuffixIndex:
+    """Suffixes of ``codes`` (0: separator), sorted by their first ``depth`` characters.
+
+    Those that end within the first key need no more than that key to be sorted.
+    """
+
+    def __init__(self, codes: np.ndarray, depth: int, bits: int):
+        self.per = 64 // bits
+        steps = -(-depth // self.per)
+        key, width = np.r_[codes, np.zeros(steps * self.per, codes.dtype)].astype(np.uint64), 1
+        tail = key[self.per - 1 : self.per - 1 + len(codes)]
+        while width < self.per:  # a key of twice as many characters from two neighbouring ones
+            key = key << np.uint64(bits * width) | np.r_[key[width:], np.zeros(width, np.uint64)]
+            width *= 2
+        self.keys = [key[k * self.per : k * self.per + len(codes)] for k in range(steps)]
+        self.order = np.argsort(self.keys[0])
+        long = np.flatnonzero(tail[self.order])
+        some = self.order[long]
+        self.order[long] = some[np.lexsort([k[some] for k in self.keys[::-1]])]
+        self.keys = [k[self.order] for k in self.keys]
 
-def encode_words(vocab: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of each word (non-empty, escaped): index, match, sort edges by their end, relax."""
-    text = "\0".join(w.replace("\0", "￿") for w in words) + "\0"
+    def ranges(self, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
+        """For each pattern the range of sorted suffixes that start with it, by binary search."""
+        lows = np.searchsorted(self.keys[0], patterns.bounds[0][0], "left")
+        highs = np.searchsorted(self.keys[0], patterns.bounds[0][1], "right")
+        for k in range(1, len(self.keys)):
+            for i in np.flatnonzero((lows < highs) & (patterns.sizes > k * self.per)).tolist():
+                part, lo = self.keys[k][lows[i] : highs[i]], lows[i]
+                lows[i], highs[i] = lo + np.searchsorted(part, patterns.bounds[k][0][i], "left"), lo + np.searchsorted(part, patterns.bounds[k][1][i], "right")
+        return lows, highs
+
+
+def _edges(codes: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
+    """(start, pattern) of every occurrence of every piece."""
+    index = SuffixIndex(codes, patterns.longest, patterns.bits)
+    lows, highs = index.ranges(patterns)
+    counts = np.maximum(highs - lows, 0)
+    which = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(which)) + np.repeat(lows - np.r_[0, np.cumsum(counts)[:-1]], counts)
+    return index.order[at], which
+
+
+def encode_words(vocab: Vocabulary, words: list[str], patterns: Patterns) -> list[bytes]:
+    """Ids of each word (non-empty, escaped, of the patterns' letters or of none): index, match, sort edges, relax."""
+    text = "\0".join(words) + "\0"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    seen = [c for c in np.unique(points).tolist() if chr(c) in vocab.letters]
-    code = {chr(c): k + 1 for k, c in enumerate(seen)}
-    where = np.minimum(np.searchsorted(seen, points), len(seen) - 1) if seen else np.zeros(len(points), np.int64)
-    codes = np.where(np.array(seen)[where] == points, where + 1, 0) if seen else where
-    ids = [i for p, i in vocab.id.items() if all(c in code for c in p)]
-    patterns = [[code[c] for c in vocab.piece[i]] for i in ids]
-    index = SuffixIndex(codes, vocab.longest, 8 if len(seen) < 255 else 16)
-    ranges = index.ranges(patterns) if ids else []
-    counts = np.array([hi - lo for lo, hi in ranges], np.int64)
-    starts = np.concatenate([index.order[lo:hi] for lo, hi in ranges if hi > lo] or [np.empty(0, np.int64)])
-    sizes = np.repeat(np.array([len(p) for p in patterns], np.int64), counts)
-    names = np.repeat(np.array(ids, np.int64), counts)
-    bare = np.flatnonzero((codes == 0) & (points != 0))  # characters without a piece
-    starts, sizes, names = np.r_[starts, bare], np.r_[sizes, np.ones(len(bare), np.int64)], np.r_[names, np.full(len(bare), BYTES)]
-    ends = starts + sizes
-    by = np.argsort(ends, kind="stable")
-    last: list[int | None] = [None] * (len(points) + 1)
-    for s in np.flatnonzero(np.r_[True, points[:-1] == 0]).tolist():
-        last[s] = START
-    known, apart = vocab._apart, vocab.apart
-    for s, e, name in zip(starts[by].tolist(), ends[by].tolist(), names[by].tolist(), strict=True):
-        left = last[s]
-        if left is None:
-            continue
-        if name == BYTES:
-            last[e] = BYTES
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    codes = patterns.code[points]
+    starts, which = _edges(codes, patterns)
+    names, lengths = patterns.ids[which], patterns.sizes[which]
+    bare = codes == 0  # characters without a piece
+    bare[first + sizes] = False
+    if bare.any():
+        bare = np.flatnonzero(bare)
+        starts, names, lengths = np.r_[starts, bare], np.r_[names, np.full(len(bare), BYTES)], np.r_[lengths, np.ones(len(bare), np.int64)]
+    ends = starts + lengths
+    place = ends - np.repeat(first, sizes + 1)[starts]  # in the word
+    by = np.argsort(place.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else place, kind="stable")
+    starts, names, ends = starts[by], names[by], ends[by]
+    cuts = np.r_[0, np.cumsum(np.bincount(place))]
+    last = np.full(len(points) + 1, NONE, np.int64)
+    last[first] = START
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a == b:
             continue
-        ok = known.get((left, name))
-        if ok is None:
-            ok = apart(left, name)
-        if ok:
-            last[e] = name
-    out, at = [], 0
-    for w in words:
-        ids_of, e = [], at + len(w)
-        while e > at:
-            name = last[e]
-            if name == BYTES:
-                ids_of += [vocab.byte[b] for b in reversed(w[e - 1 - at].encode("utf-8", "surrogatepass"))]
-                e -= 1
-            else:
-                ids_of.append(name)
-                e -= len(vocab.piece[name])
-        out.append(ids_of[::-1])
-        at += len(w) + 1
-    return out
+        left, name, end = last[starts[a:b]], names[a:b], ends[a:b]
+        ok = left != NONE
+        both = np.flatnonzero((left >= 0) & (name >= 0))
+        ok[both] = vocab.apart(left[both], name[both])
+        last[end[ok]] = name[ok]
+    return _walked(vocab, points, first, sizes, last)
+
+
+def _walked(vocab: Vocabulary, points: np.ndarray, first: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Ids of all words from the last pieces of their prefixes, walked back from their ends at once."""
+    at, live, owners, found = first + sizes, np.arange(len(first)), [], []
+    while len(live):
+        name = last[at]
+        odd = np.flatnonzero(name == BYTES)
+        if len(odd):
+            raw = [chr(c).encode("utf-8", "surrogatepass")[::-1] for c in points[at[odd] - 1].tolist()]
+            many = np.ones(len(live), np.int64)
+            many[odd] = [len(r) for r in raw]
+            ids = np.repeat(name, many)
+            ids[ids == BYTES] = [vocab.byte[b] for r in raw for b in r]
+            owners.append(np.repeat(live, many))
+            found.append(ids)
+        else:
+            owners.append(live)
+            found.append(name)
+        at = at - np.where(name == BYTES, 1, vocab.size[name])
+        on = at > first[live]
+        at, live = at[on], live[on]
+    if not found:
+        return []
+    # each word's ids were found from its last to its first, so the order of finding is turned round
+    owner, ids = np.concatenate(owners)[::-1], np.concatenate(found)[::-1]
+    raw = ids[np.argsort(owner, kind="stable")].astype("<i4").tobytes()
+    ends = (4 * np.cumsum(np.bincount(owner, minlength=len(first)))).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
-    """Ids of texts; words are kept, at most about ``most`` of them, words over ``longest`` characters never."""
+    """Ids of texts, batch by batch; the words of a batch are merged, and each batch is matched anew."""
 
-    def __init__(self, path: str, most: int = 350_000, longest: int = 64):
-        self.vocab, self.most, self.longest, self.known = Vocabulary(path), most, longest, {}
+    def __init__(self, path: str):
+        self.vocab = Vocabulary(path)
+
+    def _ids(self, words: set[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isascii() or self.vocab.rare.isdisjoint(w) else rest).append(w)
+        for group, patterns in ((plain, self.vocab.narrow), (rest, self.vocab.wide)):
+            some, size = [], 0
+            for w in [*group, None]:
+                if some and (w is None or size + len(w) > CHUNK):
+                    out.update(zip(some, encode_words(self.vocab, some, patterns), strict=True))
+                    some, size = [], 0
+                if w is not None:
+                    some.append(w)
+                    size += len(w) + 1
+        return out
 
-    def _learn(self, words: list[str]) -> None:
+    def encode(self, texts: list[str], batch: int = BATCH) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
         some, size = [], 0
-        for w in [*words, None]:
-            if w is None or (some and size + len(w) > CHUNK):
-                self.known.update(zip(some, (np.array(x, "<i4").tobytes() for x in encode_words(self.vocab, some)), strict=True))
+        for t in [*texts, None]:
+            if t is None or (some and size + len(t) > batch):
+                lines = [self.vocab.word.findall(MARK + x.replace(" ", MARK)) if x else [] for x in some]
+                ids = self._ids(set().union(*lines))
+                yield from [b"".join([ids[w] for w in line]) for line in lines]
                 some, size = [], 0
-            if w is not None:
-                some.append(w)
-                size += len(w) + 1
-
-    def encode(self, texts: list[str], group: int = 256) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        for at in range(0, len(texts), group):
-            lines = [self.vocab.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : at + group]]
-            new = set(chain.from_iterable(lines)).difference(self.known)
-            if len(self.known) > self.most:
-                self.known.clear()
-                new = set(chain.from_iterable(lines))
-            self._learn(sorted(new))
-            yield from [b"".join([self.known[w] for w in line]) for line in lines]
-            for w in [w for w in new if len(w) > self.longest]:
-                del self.known[w]
+            if t is not None:
+                some.append(t)
+                size += len(t)
 
     def decode(self, ids: list[int]) -> str:
         raw = self.vocab.raw
-        text = b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        text = b"".join([raw[i] if 0 <= i < len(raw) else b"" for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -228,7 +329,7 @@ def _encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def encode(docs: DataFrame, path: str = MODEL, rows: int = 512) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, rows: int = 4096) -> DataFrame:
     """``docs`` (doc_id, text) -> (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +360,7 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     return kept.mapInArrow(run, f"{fields}, text string")
 
 
-def digest(docs: DataFrame, path: str = MODEL, rows: int = 512) -> DataFrame:
+def digest(docs: DataFrame, path: str = MODEL, rows: int = 4096) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256, round_trip): ids little-endian for the checksum; decoded from the ids.
 
     Encodes and decodes in one worker, so that ids don't travel.
