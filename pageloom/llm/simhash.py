@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cut
-from pageloom.llm.components import connected_components
+from pageloom.llm.common import cut, hot_join
+from pageloom.llm.components import labelled
 
 #: A bucket of more fingerprints is refined instead of compared in one task.
 BUCKET = 2048
@@ -141,16 +141,17 @@ def _links_of(distance: int):
 
 def close_links(prints: DataFrame, n: int, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
     """``prints`` (fp: distinct longs, n rows) -> (u, v): links that span each group of close ones."""
-    rows = prints.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in block_masks(n, distance)])).alias("mask"))
+    masks = block_masks(n, distance)
+    rows, total = prints.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")), n * len(masks)
     links = None
     while True:
         rows = rows.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        live = cut(rows.join(shared, "key"))
-        small = live.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+        live = cut(hot_join(rows, shared, ["key"], total, spread=("fp",)))
+        small = live.where(F.col("size") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
         found = small.mapInArrow(_links_of(distance), "u long, v long")
         links = found if links is None else links.unionByName(found)
-        large = live.where(F.col("n") > bucket)
+        large = live.where(F.col("size") > bucket)
         held = [r["mask"] for r in large.select("mask").distinct().collect()]  # some of the masks made above
         if not held:
             return links
@@ -166,10 +167,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     over links of at most ``distance`` differing bits.
     """
     of_docs = cut(fingerprints(docs, words))
-    distinct = cut(of_docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    nodes = connected_components(close_links(distinct.select("fp"), distinct.count(), distance))
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    groups = cut(rooted)
-    low = groups.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = groups.select("fp", "root").join(low, "root").select("fp", "component_id")
-    return of_docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = cut(of_docs.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    links = close_links(distinct.select("fp"), distinct.count(), distance)
+    labels = cut(labelled(distinct.withColumnRenamed("fp", "node"), links)).select(F.col("node").alias("fp"), "n", F.col("label").alias("component_id"))
+    named = hot_join(of_docs, labels, ["fp"], of_docs.count(), spread=("doc_id",))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
