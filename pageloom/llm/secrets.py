@@ -2,9 +2,10 @@
 
 From each rule's regular expression a Boolean trigram query is derived: a disjunction over the
 alternatives of its literal text, each a conjunction of that literal's trigrams. The index holds a
-posting (trigram, document) for every trigram that some query names. Postings are intersected by
-document: one row a document with the set of its trigrams as a bit mask, made by a partial
-aggregation, so no trigram's postings are gathered in one place, however frequent. Rules whose
+posting (trigram, document) for every trigram that some query names; one pass over a text finds them
+all. Postings are intersected by document: one row a document with the set of its trigrams as bit
+masks, made by a partial aggregation, so no trigram's postings are gathered in one place, however
+frequent. Rules whose
 query holds for a document are its candidates, and only those expressions run on it; a rule without
 mandatory trigrams (hex runs) scans every text.
 
@@ -113,7 +114,19 @@ RULES = (
     rule("google", "AIza[0-9A-Za-z_-]{35}"),
 )
 TRIGRAMS = sorted({t for r in RULES for clause in r.query for t in clause})
-assert len(TRIGRAMS) < 64, "postings are kept as bits of a long"
+#: Bits of a mask that are used; as many masks as the trigrams need.
+BITS = 62
+
+
+def _any_of(grams: list[str]) -> str:
+    """A pattern that finds, at every place of a text, the trigram that starts there."""
+    quoted = lambda c: c if c.isalnum() else f"\\x{ord(c):02x}"
+    heads: dict[str, dict[str, str]] = {}
+    for a, b, c in grams:
+        rest = heads.setdefault(a, {})
+        rest[b] = rest.get(b, "") + quoted(c)
+    paths = "|".join(quoted(a) + "(?:" + "|".join(f"{quoted(b)}[{c}]" for b, c in rest.items()) + ")" for a, rest in heads.items())
+    return f"(?=({paths}))"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -124,21 +137,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def index(docs: DataFrame) -> DataFrame:
     """Postings (trigram, doc_id, mark) of every trigram that a query names."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in TRIGRAMS]))
-    return docs.select(F.explode(found).alias("trigram"), "doc_id", "mark")
+    found = F.regexp_extract_all(F.lower("text"), F.lit(_any_of(TRIGRAMS)), F.lit(1))
+    return docs.select(F.explode(F.array_distinct(found)).alias("trigram"), "doc_id", "mark")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, mark, rules): the bits of the rules whose trigram query the document's postings satisfy."""
-    bit = {t: 1 << k for k, t in enumerate(TRIGRAMS)}
-    number = F.create_map(*[F.lit(x) for t, b in bit.items() for x in (t, b)])
-    masks = postings.withColumn("bit", number[F.col("trigram")]).groupBy("doc_id", "mark").agg(F.bit_or("bit").alias("mask"))
+    place = {t: divmod(k, BITS) for k, t in enumerate(TRIGRAMS)}
+    count = 1 + (len(TRIGRAMS) - 1) // BITS
+    bits = []
+    for m in range(count):
+        mine = F.create_map(*[F.lit(x) for t, (k, b) in place.items() if k == m for x in (t, 1 << b)])
+        bits.append(F.bit_or(F.coalesce(mine[F.col("trigram")], F.lit(0)).cast("long")).alias(f"mask{m}"))
+    masks = postings.groupBy("doc_id", "mark").agg(*bits)
     wanted = F.lit(0).cast("long")
     for k, r in enumerate(rules):
         for clause in r.query:
-            need = F.lit(sum(bit[t] for t in clause))
-            wanted = wanted.bitwiseOR(F.when(F.col("mask").bitwiseAND(need) == need, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+            held = F.lit(True)
+            for m in {place[t][0] for t in clause}:
+                need = F.lit(sum(1 << place[t][1] for t in clause if place[t][0] == m)).cast("long")
+                held = held & (F.col(f"mask{m}").bitwiseAND(need) == need)
+            wanted = wanted.bitwiseOR(F.when(held, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
     return masks.select("doc_id", "mark", wanted.alias("rules")).where("rules <> 0")
 
 
@@ -168,7 +187,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         else:
             wanted = F.col("text").rlike(r.pattern)
         parts.append(F.when(wanted, spans).otherwise(none))
-    return joined.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
+    return joined.select("doc_id", F.sort_array(F.concat(*parts)).alias("spans"))
 
 
 def _numbered(k: int):

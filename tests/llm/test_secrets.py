@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import pyspark.sql.functions as F
 from oracle import frames
 
 from pageloom.llm import registry, secrets
+from pageloom.llm.spans import match_spans
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,6 +64,25 @@ def test_odd_texts(spark):
     assert secrets.digest(docs.limit(0)).collect() == []
 
 
+def test_many_matches_take_about_linear_time(spark):
+    text = "pad é0123456789abcdef0 " * 40_000
+    row = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_hex == 40_000 and row.spans == said(brute(text)[1])
+    took = []
+    for n in (10_000, 10_000, 80_000):  # the first time compiles
+        docs = spark.createDataFrame([(1, text[: 23 * 10_000] * (n // 10_000))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert docs.select(F.size(match_spans(F.col("text"), "[0-9a-f]{16,}"))).first()[0] == n
+        took.append(time.perf_counter() - began)
+    assert took[2] < 24 * took[1], took  # eight times the matches; copying the array for each would take 64 times as long
+
+
+def test_all_trigrams_in_one_pass(spark):
+    text = "".join(secrets.TRIGRAMS) + " To-KEN ïpas PRI.ke "
+    got = secrets.index(secrets.keyed(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string"))).collect()
+    assert sorted((r.doc_id, r.trigram) for r in got) == sorted(2 * [(1, t) for t in secrets.TRIGRAMS if t in text.lower()])
+
+
 def test_no_python_on_the_main_path(spark):
     plan = secrets.digest(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
