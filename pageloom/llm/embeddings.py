@@ -1,21 +1,23 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products, one kept per group.
 
-Equal vectors are merged first, with their number. Centres are fitted on a bounded sample (at most
-``SAMPLE`` distinct vectors, those of the lowest hashes); every vector is then indexed: it belongs
-to its nearest centre's cell and visits each cell whose centre is less than ``MARGIN`` further in
-cosine. A pair is compared where one's home is visited by the other, so a link across a border is
-missed only if both vectors lie deep in their own cells; the tests measure recall against brute
-force. A cell larger than a block is cut into blocks of targets and of sources, and every block
-pair is a task of its own, so a hot cell is spread out and no cell is held whole.
+Equal vectors are merged first, with their number and least vec_id. Centres are fitted in two levels on
+bounded samples: groups on at most ``SAMPLE`` distinct vectors, then the cells of each group in a task of
+its own on the group's share of ``PER_CELL`` vectors a cell. Cells grow with the table (its square root,
+or one for each ``OWNED`` vectors if that is more) as far as ``CENTRES`` bytes hold their centres. Every
+vector is indexed: it belongs to the nearest cell and visits the next nearest, ``PROBES`` in all, among
+those of its ``PROBES`` nearest groups. A pair is compared where one's home is visited by the other;
+the tests measure recall against brute force. A cell larger than a block is cut into blocks of
+targets and of sources, and every block pair is a task of its own, so a hot cell is spread out and no
+cell is held whole.
 
 Links are counted in the blocks and never written out; from each block only a spanning forest of
 its links goes on to the components. Cosines are in double precision, and no pair below the
 threshold links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
-without vec_id, link with nothing; vectors of differing length don't link; rows that repeat a
-vec_id count as vectors of their own that share a name; an empty table gives an empty result;
-other columns are ignored.
+without vec_id, link with nothing; vectors of differing length don't link; rows that repeat a vec_id
+with unlike vectors are vectors of their own that share a name, each with its own links, and a group is
+named by the least vec_id in it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cut
-from pageloom.llm.components import connected_components
+from pageloom.llm.common import cut, hot_join
+from pageloom.llm.components import labelled
 
-THRESHOLD, MARGIN = 0.9, 0.12
-#: Bounds: sampled vectors, cells, and rows of a block of targets or sources.
-SAMPLE, CELLS, BLOCK = 8192, 2048, 2048
+THRESHOLD, PROBES = 0.9, 4
+#: Sampled vectors for groups and for each cell; vectors of a cell where the square root has fewer cells; bytes of centres and their number at most.
+SAMPLE, PER_CELL, OWNED, CENTRES, CELLS = 8192, 8, 2048, 1 << 26, 1 << 16
+#: Rows of a block of targets or of sources, and sources compared at once.
+BLOCK, CHUNK = 4096, 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -59,25 +63,92 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _indexed(vectors: DataFrame, models: dict[int, np.ndarray], margin: float) -> DataFrame:
+def cells_of(total: int, dim: int) -> int:
+    """The number of cells for ``total`` distinct vectors of a length."""
+    return max(1, min(CELLS, CENTRES // (4 * dim), max(round(math.sqrt(total)), total // OWNED)))
+
+
+class Index:
+    """Centres of one length: groups, and each group's cells, numbered on from those of the group before."""
+
+    def __init__(self, groups: np.ndarray, cells: dict[int, np.ndarray]):
+        self.groups = groups.astype(np.float32)
+        self.cells = [cells.get(g, groups[g : g + 1]).astype(np.float32) for g in range(len(groups))]
+        self.first = np.r_[0, np.cumsum([len(c) for c in self.cells])].astype(np.int32)
+
+    def nearest(self, points: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest cells [n, probes] of unit vectors, nearest first, among those of the nearest groups; -1 fills up."""
+        points = points.astype(np.float32)
+        near = np.argsort(-(points @ self.groups.T), axis=1, kind="stable")[:, :probes]
+        sims, ids = np.full((len(points), probes), -np.inf, np.float32), np.full((len(points), probes), -1, np.int32)
+        for g in np.unique(near).tolist():
+            rows = np.flatnonzero((near == g).any(axis=1))
+            both = np.concatenate([sims[rows], points[rows] @ self.cells[g].T], axis=1)
+            name = np.concatenate([ids[rows], np.broadcast_to(np.arange(self.first[g], self.first[g + 1]), (len(rows), len(self.cells[g])))], axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+            sims[rows], ids[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(name, best, 1)
+        return ids
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.filter(pa.array(dims == dim))
+
+
+def fit_index(vectors: DataFrame) -> dict[int, Index]:
+    """``vectors`` (id, dim, vector) -> an index for each length; the sample of the lowest hashes, the same on every run."""
+    spark, mixed = vectors.sparkSession, F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    sizes = {r["dim"]: (r["n"], r["vector"]) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.min("vector").alias("vector")).collect()}
+    by_dim: dict[int, list] = {}
+    for r in vectors.select("dim", "vector", mixed.alias("h")).orderBy("h").limit(SAMPLE).collect():
+        by_dim.setdefault(r["dim"], []).append(r["vector"])
+    wanted = {d: cells_of(n, d) for d, (n, _) in sizes.items()}
+    groups = {}
+    for d, k in wanted.items():
+        some = np.array(by_dim.get(d) or [sizes[d][1]], np.float64)  # a length too rare for the sample has one group
+        groups[d] = fit_cells(some, max(1, min(round(math.sqrt(k)), len(some) // 4)))
+    shared = spark.sparkContext.broadcast(groups)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, some in _by_dim(batch):
+                home = (unit(_matrix(some.column("vector"))) @ shared.value[d].T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home.astype(np.int32))], names=[*some.schema.names, "home"])
+
+    kind = vectors.schema["vector"].dataType.simpleString()
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = _matrix(table.column("vector"))
+        centres = fit_cells(x, max(1, round(len(x) / PER_CELL)))
+        n = len(centres)
+        return pa.table({"dim": table.column("dim").combine_chunks()[:1].take(pa.array([0] * n)), "home": table.column("home").combine_chunks()[:1].take(pa.array([0] * n)), "centre": pa.array(list(centres), pa.list_(pa.float64()))})
+
+    share = F.lit(0.0)
+    for d, k in wanted.items():
+        share = F.when(F.col("dim") == d, F.lit(min(1.0, PER_CELL * k / sizes[d][0]))).otherwise(share)
+    some = vectors.select("id", "dim", "vector").where(mixed < share * (1 << 30))
+    found = some.mapInArrow(grouped, f"id long, dim int, vector {kind}, home int").groupBy("dim", "home").applyInArrow(fitted, "dim int, home int, centre array<double>")
+    cells: dict[int, dict[int, list]] = {d: {} for d in wanted}
+    for r in found.collect():  # at most about CELLS centres, CENTRES bytes
+        cells[r["dim"]].setdefault(r["home"], []).append(r["centre"])
+    return {d: Index(groups[d], {g: np.array(c) for g, c in cells[d].items()}) for d in wanted}
+
+
+def _indexed(vectors: DataFrame, models: dict[int, Index], probes: int) -> DataFrame:
     """``vectors`` (id, n, dim, vector) with home and visits (cells, home left out)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(models)  # at most CELLS centres for each length
+    shared = vectors.sparkSession.sparkContext.broadcast(models)  # at most CENTRES bytes a length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                some = batch.filter(pa.array(dims == dim))
-                centres = shared.value[int(dim)]
-                sims = unit(_matrix(some.column("vector"))) @ centres.T
-                home = sims.argmax(axis=1)
-                near = sims > sims.max(axis=1, keepdims=True) - margin
-                near[np.arange(len(home)), home] = False
-                visits = pa.array([np.flatnonzero(r).tolist() for r in near], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home.astype(np.int32)), visits], names=[*some.schema.names, "home", "visits"])
+            for dim, some in _by_dim(batch):
+                near = shared.value[dim].nearest(unit(_matrix(some.column("vector"))), probes)
+                visits = pa.array([[c for c in row if c >= 0] for row in near[:, 1:].tolist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(near[:, 0]), visits], names=[*some.schema.names, "home", "visits"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"id long, n long, dim int, vector {kind}, home int, visits array<int>")
+    return vectors.select("id", "n", "dim", "vector").mapInArrow(run, f"id long, n long, dim int, vector {kind}, home int, visits array<int>")
 
 
 def forest(hits: np.ndarray) -> list[tuple[int, int]]:
@@ -113,21 +184,20 @@ def _compare(threshold: float):
         t, s = np.flatnonzero(target), np.flatnonzero(~target)
         if not len(t) or not len(s):
             return empty
-        hits = x[s] @ x[t].T / size[s][:, None] / size[t][None, :] >= threshold
+        hits = np.empty((len(s), len(t)), bool)
+        for at in range(0, len(s), CHUNK):
+            some = s[at : at + CHUNK]
+            hits[at : at + CHUNK] = x[some] @ x[t].T / size[some][:, None] / size[t][None, :] >= threshold
         hits &= ids[s][:, None] != ids[t][None, :]
         add = np.zeros(len(ids), np.int64)
-        add[s] = hits @ n[t]
+        for at in range(0, len(s), CHUNK):
+            add[s[at : at + CHUNK]] = hits[at : at + CHUNK] @ n[t]
         # a visitor's link is also found in the visitor's home if the target visits that; else it counts for both here
-        guest = np.flatnonzero(homes[s] != homes[t[0]])
-        i, j = np.nonzero(hits[guest])
-        if len(i):
-            visits = table.column("visits").to_pylist()
-            width = max(1, max(len(visits[k]) for k in t))
-            grid = np.full((len(t), width), -1)
-            for row, k in enumerate(t):
-                grid[row, : len(visits[k])] = visits[k]
-            alone = ~(grid[j] == homes[s[guest[i]]][:, None]).any(axis=1)
-            np.add.at(add, t[j[alone]], n[s[guest[i[alone]]]])
+        visits = table.column("visits").to_pylist()
+        for k in np.flatnonzero((homes[s] != homes[t[0]]) & hits.any(axis=1)).tolist():
+            for j in np.flatnonzero(hits[k]).tolist():
+                if homes[s[k]] not in visits[t[j]]:
+                    add[t[j]] += n[s[k]]
         some = np.flatnonzero(add)
         edges = np.array(forest(hits), np.int64).reshape(-1, 2)
         u, v = ids[s[edges[:, 0]]], ids[t[edges[:, 1]]]
@@ -137,17 +207,9 @@ def _compare(threshold: float):
     return run
 
 
-def compared(vectors: DataFrame, total: int, threshold: float = THRESHOLD, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+def compared(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """``vectors`` (id, n, dim, vector), distinct -> (id, links, other) from all blocks of all cells."""
-    sample = vectors.select("dim", "vector", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(r["dim"], []).append(r["vector"])
-    for r in vectors.groupBy("dim").agg(F.first("vector").alias("vector")).collect():  # a length too rare for the sample
-        by_dim.setdefault(r["dim"], [r["vector"]])
-    k = max(1, min(CELLS, round(math.sqrt(total))))
-    models = {d: fit_cells(np.array(v, np.float64), max(1, min(k, len(v) // 4))) for d, v in by_dim.items()}
-    placed = cut(_indexed(vectors, models, margin))
+    placed = cut(_indexed(vectors, fit_index(vectors), probes))
     own = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("owned"))
     guests = placed.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("guests"))
     parts = own.join(guests, ["dim", "cell"], "left").select(
@@ -166,25 +228,22 @@ def compared(vectors: DataFrame, total: int, threshold: float = THRESHOLD, margi
     return rows.groupBy("dim", "cell", "b", "s").applyInArrow(_compare(threshold), "id long, links long, other long")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """``rows`` (vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row a vector."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     able = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     all_rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("able", F.coalesce(able, F.lit(False)))
-    good = all_rows.where("able")
-    vectors = cut(
-        good.groupBy(F.col("embedding").alias("vector")).agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", F.size("vector").alias("dim"), "vector")
-    )
-    total = vectors.count()
-    if not total:
-        return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = cut(compared(vectors, total, threshold, margin, block))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
-    named = vectors.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    linked = good.join(named, good["embedding"] == named["vector"]).select("vec_id", "n_links", "component_id")
+    # vectors are told apart by 128 bits of hash, so that they needn't travel to meet their results
+    good = all_rows.where("able").select("vec_id", "embedding", F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit(1), "embedding").alias("two"))
+    vectors = cut(good.groupBy("one", "two", F.col("embedding").alias("vector")).agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("dim", F.size("vector")))
+    vectors = vectors.withColumn("id", F.monotonically_increasing_id())  # the same on every read of what was written
     alone = all_rows.where("not able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = cut(compared(vectors, threshold, probes, block))
+    nodes = vectors.select(F.col("id").alias("node"), "low", "one", "two", "n")
+    named = labelled(nodes, found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
+    named = cut(named.join(links, "node", "left").select("one", "two", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("label").alias("component_id")))
+    linked = hot_join(good.select("vec_id", "one", "two"), named, ["one", "two"], good.count(), spread=("vec_id",)).select("vec_id", "n_links", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
