@@ -3,13 +3,18 @@
 The patterns (email, ip, card, phone) are read over the whole text and always kept. The network
 tags characters in overlapping windows; each window is decoded by Viterbi, and the spans of all
 windows are reconciled over the whole text by choosing the non-overlapping set of highest total
-score. A span that touches an inner edge of its window counts only as what the next window makes
-of it. Spans of the network are added where no pattern span of any kind lies and where they look
-like their kind; they reach what the patterns leave out, such as phone numbers without a plus.
+score (of equal ones, that of the spans that end first). A span that touches an inner edge of its
+window counts only as what the next window makes of it; spans of up to WINDOW - STRIDE - 2 characters
+lie inside some window. Spans of the network are added where no pattern span of any kind lies and
+where they look like their kind (``plausible``); they reach what the patterns leave out, such as phone
+numbers without a plus, 13 to 15 digit cards, IPv6 addresses and emails of the form "a (at) b.org".
 
-Every kind needs a digit, so a window without digits decodes to nothing by constraint and
-isn't run. The network is trained here in numpy, by the gradient of the CRF likelihood, on
-generated lines whose spans are known; training is deterministic and kept for the process.
+What is plausible holds a digit, an "@" or a bracketed "at", whatever its kind; a window without any of
+these can't give a span that is kept, and isn't run. A test compares this with running all windows.
+
+The network is trained in numpy, by the gradient of the CRF likelihood, on generated lines whose spans
+are known. Training takes minutes, so its weights are kept beside this module (``tagger.npz``), as
+``python -m pageloom.llm.personal`` writes them; a test trains the first steps anew and compares them.
 
 Defined results: null texts count as empty; empty texts have no spans; repeated rows get equal
 results; texts of any length are read whole, window by window; an empty table gives an empty
@@ -20,8 +25,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +47,12 @@ DIGITS = re.compile(r"[0-9]+")
 
 Span = tuple[str, int, int]
 
-WINDOW, STRIDE, HIDDEN, BATCH = 96, 48, 14, 256
+WINDOW, STRIDE, HIDDEN = 128, 64, 20
+#: Windows decoded at once, and characters of texts whose windows are decoded together.
+BATCH, TEXTS = 1024, 1 << 21
+#: Lines, epochs and seed of the training whose weights are kept in FILE.
+LINES, EPOCHS, SEED = 9000, 6, 11
+FILE = Path(__file__).with_name("tagger.npz")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 SIGNS = " \n@.-+()_%:/,='\"#[]*&$|!?;<>~\\{}"
 CLASSES = 6 + len(SIGNS)
@@ -104,7 +116,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Weights: for each direction an embedding into the gates, a recurrence and a bias; emissions; transitions."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, weights: dict[str, np.ndarray] | None = None):
+        if weights:
+            self.p = weights
+            return
         rng, h = np.random.default_rng(seed), HIDDEN
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("E", rng.normal(0, 0.3, (CLASSES, 4 * h))), ("R", rng.normal(0, 0.3, (h, 4 * h))))}
         self.p |= {"O": rng.normal(0, 0.3, (2 * h, TAGS)), "c": np.zeros(TAGS), "T": np.zeros((TAGS, TAGS)), "S": np.zeros(TAGS)}
@@ -114,8 +129,8 @@ class Tagger:
     def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """Hidden states [n, steps, h] of one direction over classes x [n, steps]."""
         n, steps = x.shape
-        h, c, out = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.empty((n, steps, HIDDEN))
         E, R = self.p[f"E{d}"], self.p[f"R{d}"]
+        h, c, out = np.zeros((n, HIDDEN), E.dtype), np.zeros((n, HIDDEN), E.dtype), np.empty((n, steps, HIDDEN), E.dtype)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = E[x[:, t]] + h @ R
             gates = _sigmoid(z[:, : 3 * HIDDEN])
@@ -175,7 +190,7 @@ class Tagger:
         return float((log_z - gold).sum() / n), {k: v / n for k, v in out.items()}
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags [n, steps], and each position's margin of its tag over the outside tag."""
+        """Viterbi tags [n, steps], and what each position adds to the path's score over the all-outside path's."""
         e, T = self.emissions(x), self.p["T"]
         n, steps, _ = e.shape
         score, back = e[:, 0] + self.p["S"], np.zeros((n, steps, TAGS), np.int8)
@@ -187,7 +202,10 @@ class Tagger:
         tags[:, -1] = score.argmax(1)
         for t in range(steps - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        return tags, np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]
+        margins = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]
+        margins[:, 0] += self.p["S"][tags[:, 0]] - self.p["S"][0]
+        margins[:, 1:] += T[tags[:, :-1], tags[:, 1:]] - T[0, 0]
+        return tags, margins
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -196,45 +214,64 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _labelled_line(rng: random.Random) -> tuple[str, list[Span]]:
-    """A line of WINDOW characters or fewer, with at most two spans."""
-    word = lambda: "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(1, 9))) + rng.choice([""] * 8 + [",", ".", "é", "ß"])
-    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    """A line of WINDOW characters or fewer, with at most three spans."""
+    pick = rng.choice
+    word = lambda: "".join(pick("etaoinshrdlucmfwyp") for _ in range(rng.randint(1, 9))) + pick([""] * 8 + [",", ".", "é", "ß"])
+    num = lambda n: "".join(pick("0123456789") for _ in range(n))
+    name = lambda: "".join(pick("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    hexa = lambda n: "".join(pick("0123456789abcdef") for _ in range(n))
 
     def email() -> str:
-        return name() + rng.choice(["", ".", "_"]) + num(rng.randint(0, 2)) + "@" + name() + num(rng.randint(0, 1)) + "." + rng.choice(["com", "org", "example.com", "net"])
+        who = name() + pick(["", ".", "_", "-"]) + pick(["", num(1), num(2), name()])
+        where = name() + pick(["", num(1), f"-{name()}", f".{name()}"]) + "." + pick(["com", "org", "example.com", "net", "de", "io"])
+        sign = pick(["@"] * 6 + ["(at)", "[at]", " (at) ", " [at] ", " {at} ", " @ "])
+        return (who.replace("a", "á").replace("o", "ö") if rng.random() < 0.1 else who) + sign + where
 
     def ip() -> str:
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        if rng.random() < 0.7:
+            return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        parts = [hexa(rng.randint(1, 4)) for _ in range(8)]
+        k, n = rng.randint(1, 3), rng.randint(2, 5)
+        return ":".join(parts) if rng.random() < 0.5 else pick(["2001", "fe80", "fd" + hexa(2)]) + ":" + ":".join(parts[:k]) + "::" + ":".join(parts[k : k + 6 - n])
 
     def card() -> str:
-        body = num(15)
+        size = pick([16, 16, 16, 15, 13])
+        body = {15: "3", 13: "4"}.get(size) or pick("3456")
+        body += num(size - 2)
         full = next(body + d for d in "0123456789" if luhn(body + d))
-        sep = rng.choice(["", "", " ", "-", "."])
-        return sep.join(full[i : i + 4] for i in range(0, 16, 4))
+        sep = pick(["", "", " ", "-", "."])
+        cuts = [0, 4, 10, 15] if size == 15 else [*range(0, size, 4), size]
+        return sep.join(full[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {a} {b}{num(2)}", f"{a}.{b}.{c}", f"+{num(2)}-{a}-{b}-{c}"])
+        return pick([
+            f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {a} {b}{num(2)}", f"{a}.{b}.{c}", f"+{num(2)}-{a}-{b}-{c}", f"{a} {b} {c}",
+            f"{pick('6789')}{num(2)} {b} {num(3)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(3)}-{num(3)}{num(3)}", f"00{num(2)} {a} {b} {num(3)}",
+            f"(0{num(2)}) {num(4)} {num(4)}", f"+{num(1)} {num(4)} {c}", f"0{num(3)} {num(3)} {num(2)}",
+        ])
 
     def other() -> str:
-        return rng.choice([
-            num(rng.randint(1, 6)), f"{num(1)}.{num(1)}", f"{num(1)}.{num(2)}.{num(1)}", f"{num(4)}-{num(2)}-{num(2)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([16, 18, 32, 40]))),
-            f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(20))}"', f"password={name()}{num(3)}", "AKIA" + "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ234567") for _ in range(16)),
-            f"https://{name()}.example.com/{name()}/{num(3)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)},{num(3)}", f"#{num(4)}", f"v{num(1)}.{num(1)}", f"{name()}{num(2)}", f"@{name()}", f"{num(20)}", f"{num(2)} % {num(3)}",
+        year, month, day = pick(["19", "20"]) + num(2), f"{rng.randint(1, 12):02}", f"{rng.randint(1, 31):02}"
+        return pick([
+            num(rng.randint(1, 6)), f"{num(1)}.{num(1)}", f"{num(1)}.{num(2)}.{num(1)}", f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{day}/{month}/{year}", f"{month}-{day}-{year}", f"{year} {month} {day}",
+            f"{year}-{year}", hexa(pick([8, 16, 18, 32, 40])), f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", ":".join(hexa(2) for _ in range(6)), f'token = "{hexa(20)}"', f"password={name()}{num(3)}",
+            "AKIA" + "".join(pick("ABCDEFGHJKMNPQRSTUVWXYZ234567") for _ in range(16)), f"https://{name()}.example.com/{name()}/{num(3)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)},{num(3)}",
+            f"{num(2)}.{num(3)}.{num(3)}", f"{num(3)},{num(3)},{num(3)}", f"#{num(4)}", f"#{num(rng.randint(8, 12))}", f"v{num(1)}.{num(1)}", f"{name()}{num(2)}", f"@{name()}", num(20), num(rng.randint(7, 14)), f"{num(2)} % {num(3)}",
+            f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{name()}@{name()}", f"{num(2)}.{num(4)}, {num(2)}.{num(4)}", f"({name()}) {num(3)}", f"pp. {num(3)}-{num(3)}", f"{num(3)} {word()} {num(3)}", f"(at) {name()}",
         ])
 
     text, spans = "", []
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
-    for _ in range(rng.randint(1, 2)):
-        text += " ".join(word() for _ in range(rng.randint(0, 4))) + rng.choice([" ", " ", " ", "\n", ": ", " ("])
+    for _ in range(rng.randint(1, 3)):
+        text += " ".join(word() for _ in range(rng.randint(0, 4))) + pick([" ", " ", " ", "\n", ": ", " (", ", "])
         if rng.random() < 0.6:
-            kind = rng.choice(KINDS)
+            kind = pick(KINDS)
             value = makers[kind]()
             spans.append((kind, len(text), len(text) + len(value)))
         else:
             value = other()
-        text += value + rng.choice([" ", " ", ". ", ", ", "\n", ")"])
+        text += value + pick([" ", " ", ". ", ", ", "\n", ") "])
     text += " ".join(word() for _ in range(8))
     return text[:WINDOW], [s for s in spans if s[2] <= WINDOW]
 
@@ -248,74 +285,116 @@ def tags_of(length: int, spans: list[Span]) -> np.ndarray:
     return y
 
 
-@cache
-def trained(lines: int = 2000, epochs: int = 7, seed: int = 11) -> Tagger:
-    """The tagger after Adam steps over generated lines; the same for the same numbers."""
+def train(lines: int = LINES, epochs: int = EPOCHS, seed: int = SEED, most: int | None = None) -> tuple[Tagger, list[float]]:
+    """A tagger after Adam steps over generated lines, and the loss of each step; the same for the same numbers.
+
+    ``most`` stops after so many steps.
+    """
     rng, tagger = random.Random(seed), Tagger()
     made = [_labelled_line(rng) for _ in range(lines)]
     x = np.stack([np.pad(_classes(t), (0, WINDOW - len(t))) for t, _ in made])
     y = np.stack([tags_of(WINDOW, s) for _, s in made])
-    order, m, v, step = np.random.default_rng(seed), {}, {}, 0
-    for epoch in range(epochs):
-        for rows in np.array_split(order.permutation(lines), lines // 32):
-            _, grad = tagger.gradient(x[rows], y[rows])
-            step += 1
-            rate = 0.03 * (1 - epoch / epochs)
+    order, m, v, losses = np.random.default_rng(seed), {}, {}, []
+    steps = epochs * (lines // 48)
+    for _ in range(epochs):
+        for rows in np.array_split(order.permutation(lines), lines // 48):
+            loss, grad = tagger.gradient(x[rows], y[rows])
+            losses.append(loss)
+            step = len(losses)
+            rate = 0.02 * (1 - step / (steps + 1))
             for k, g in grad.items():
                 m[k], v[k] = 0.9 * m.get(k, 0) + 0.1 * g, 0.99 * v.get(k, 0) + 0.01 * g * g
                 tagger.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return tagger
+            if step == most:
+                return tagger, losses
+    return tagger, losses
+
+
+@cache
+def trained() -> Tagger:
+    """The tagger whose weights are kept in FILE, in single precision."""
+    with np.load(FILE) as kept:
+        return Tagger(weights={k: kept[k] for k in kept.files if k != "losses"})
+
+
+_AT = r"(?:\s?[(\[{]at[)\]}]\s?|\s?@\s?)"
+#: A sign without which nothing is plausible.
+SIGN = re.compile(r"[0-9@]|[(\[{]at[)\]}]")
+EMAIL = re.compile(rf"[^\W_][\w.%+-]*{_AT}[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{{2,}}")
+DATE = re.compile(r"(?:1[5-9]|20)[0-9]{2}([-/. ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/. ])[0-9]{1,2}\2(?:1[5-9]|20)[0-9]{2}|(?:1[5-9]|20)[0-9]{2}-(?:1[5-9]|20)[0-9]{2}")
+THOUSANDS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{3})+|97[89]-.*")
+
+
+def _is_ip(value: str) -> bool:
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", value):
+        return all(int(p) <= 255 for p in value.split("."))
+    parts = value.split(":")
+    return bool(DIGIT.search(value)) and all(re.fullmatch("[0-9A-Fa-f]{0,4}", p) for p in parts) and (len(parts) == 8 and all(parts) or value.count("::") == 1 and 4 <= len(parts) <= 8 and ":::" not in value)
 
 
 def plausible(kind: str, value: str) -> bool:
-    """Whether a span of the network has the form of its kind."""
+    """Whether a span of the network has the form of its kind; every such span holds a SIGN."""
     digits = "".join(DIGITS.findall(value))
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]", value)) and "." in value.split("@")[1]
+        return bool(EMAIL.fullmatch(value))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", value)) and all(int(p) <= 255 for p in value.split("."))
+        return _is_ip(value)
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9][0-9 .-]+[0-9]", value)) and 13 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", value)) and 10 <= len(digits) <= 15 and len(set(value) & set(" ().-")) > 0
-
-
-def window_spans(tagger: Tagger, text: str, starts: list[int]) -> list[tuple[float, Span]]:
-    """Decoded spans (score, span) of the windows at ``starts``; those cut by an inner edge are left out."""
-    out = []
-    codes = _classes(text)
-    for at in range(0, len(starts), BATCH):
-        some = starts[at : at + BATCH]
-        x = np.zeros((len(some), min(WINDOW, len(text))), np.int64)
-        for row, s in zip(x, some, strict=True):
-            part = codes[s : s + WINDOW]
+        bare = digits != value or len(digits) >= 16 or (len(digits), value[0]) in ((13, "4"), (14, "3"), (15, "3"))  # numbers that short are many
+        return bare and bool(re.fullmatch(r"[0-9][0-9 .-]+[0-9]", value)) and 13 <= len(digits) <= 19 and luhn(digits)
+    form = re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", value) and 8 <= len(digits) <= 15 and set(value) & set(" ().-")
+    return bool(form) and not DATE.fullmatch(value) and not THOUSANDS.fullmatch(value)
+
+
+def starts_of(text: str, all_of_them: bool = False) -> list[int]:
+    """Where the windows of a text begin: each STRIDE, the last at the text's end; those that hold no SIGN are left out."""
+    last = max(0, len(text) - WINDOW)
+    if all_of_them:
+        return sorted({min(s, last) for s in range(0, last + STRIDE, STRIDE)}) if text else []
+    cells = {k // STRIDE for m in SIGN.finditer(text) for k in m.span()}
+    return sorted({min(max(0, (c - k) * STRIDE), last) for c in cells for k in (0, 1)})
+
+
+def decoded(tagger: Tagger, texts: list[str], starts: list[list[int]]) -> list[list[tuple[float, Span]]]:
+    """For each text the plausible spans (score, span) of its windows; those cut by an inner edge are left out.
+
+    Windows of all texts are decoded together.
+    """
+    out: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    where = [(k, s) for k, some in enumerate(starts) for s in some]
+    codes = {k: _classes(texts[k]) for k, some in enumerate(starts) if some}
+    for at in range(0, len(where), BATCH):
+        some = where[at : at + BATCH]
+        x = np.zeros((len(some), WINDOW), np.int64)
+        for row, (k, s) in zip(x, some, strict=True):
+            part = codes[k][s : s + WINDOW]
             row[: len(part)] = part
         tags, margins = tagger.decode(x)
-        for r in np.flatnonzero(tags.any(1)):
-            line, s = tags[r], some[r]
-            t = 0
-            while t < len(line):
-                kind = (line[t] - 1) // 2
+        for r in np.flatnonzero(tags.any(1)).tolist():
+            (k, s), line = some[r], tags[r].tolist()
+            text, t, size = texts[k], 0, min(WINDOW, len(texts[k]) - s)
+            while t < size:
                 end = t + 1
                 if line[t]:
-                    while end < len(line) and line[end] == 2 * kind + 2:
+                    kind = (line[t] - 1) // 2
+                    while end < size and line[end] == 2 * kind + 2:
                         end += 1
-                    inner = (t == 0 and s > 0) or (end == len(line) and s + end < len(text))
-                    if not inner and s + end <= len(text):
-                        out.append((float(margins[r, t:end].sum()), (KINDS[kind], s + t, s + end)))
+                    inner = (t == 0 and s > 0) or (end == WINDOW and s + end < len(text))
+                    if not inner and plausible(KINDS[kind], text[s + t : s + end]):
+                        leave = end + (end < WINDOW and not line[end])  # the step out of a span counts with it
+                        out[k].append((max(float(margins[r, t:leave].sum()), 1e-6), (KINDS[kind], s + t, s + end)))
                 t = end
     return out
 
 
 def reconciled(found: list[tuple[float, Span]]) -> list[Span]:
-    """The non-overlapping spans of the highest total score, over the whole text."""
+    """The non-overlapping spans of the highest total score, over the whole text; of equal totals, that of spans that end first."""
     best: dict[Span, float] = {}
     for score, span in found:
         best[span] = max(score, best.get(span, 0.0))
     spans = sorted((s for s in best if best[s] > 0), key=lambda s: (s[2], s[1], s[0]))
     ends = [s[2] for s in spans]
     total, take = [0.0], []
-    from bisect import bisect_right
-
     for i, s in enumerate(spans):
         before = bisect_right(ends, s[1], 0, i)
         take.append(before if total[before] + best[s] > total[i] else -1)
@@ -330,21 +409,25 @@ def reconciled(found: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
-def model_spans(tagger: Tagger, text: str) -> list[Span]:
-    """Spans of the network over the whole text: windows that hold a digit, decoded and reconciled."""
-    last = max(0, len(text) - WINDOW)
-    cells = {m.start() // STRIDE for m in DIGITS.finditer(text)} | {(m.end() - 1) // STRIDE for m in DIGITS.finditer(text)}
-    starts = sorted({min(max(0, c * STRIDE + k), last) for c in cells for k in (-STRIDE, 0)})
-    found = window_spans(tagger, text, starts) if starts else []
-    return reconciled([(score, s) for score, s in found if plausible(s[0], text[s[1] : s[2]])])
+def model_spans(tagger: Tagger, texts: list[str], all_windows: bool = False) -> list[list[Span]]:
+    """Spans of the network over whole texts."""
+    return [reconciled(found) for found in decoded(tagger, texts, [starts_of(t, all_windows) for t in texts])]
 
 
-def all_spans(tagger: Tagger, text: str) -> tuple[list[Span], list[Span]]:
-    """Spans of the fixed patterns; all spans. Both by kind as listed, then start."""
-    base = base_spans(text)
-    held = sorted((a, b) for _, a, b in base)
-    added = [s for s in model_spans(tagger, text) if not any(a < s[2] and s[1] < b for a, b in held)]
-    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+def all_spans(tagger: Tagger, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
+    """For each text the spans of the fixed patterns, and all spans; both by kind as listed, then start."""
+    some, size = [], 0
+    for t in [*texts, None]:
+        if some and (t is None or size + len(t) > TEXTS):
+            for text, found in zip(some, model_spans(tagger, some), strict=True):
+                base = base_spans(text)
+                held = sorted((a, b) for _, a, b in base)
+                added = [s for s in found if not any(a < s[2] and s[1] < b for a, b in held)]
+                yield base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+            some, size = [], 0
+        if t is not None:
+            some.append(t)
+            size += len(t)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -356,8 +439,7 @@ def find(docs: DataFrame) -> DataFrame:
         asdict = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in batches:
             base, every = [], []
-            for t in batch.column("text"):
-                b, e = all_spans(shared.value, t.as_py() or "")
+            for b, e in all_spans(shared.value, [t or "" for t in batch.column("text").to_pylist()]):
                 base.append(asdict(b))
                 every.append(asdict(e))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(every, kind)], names=[*batch.schema.names, "base", "spans"])
@@ -372,11 +454,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; same columns."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
-    def clean(text: str | None) -> str | None:
-        if not text:
+    def clean(text: str | None, spans: list[Span]) -> str | None:
+        if not spans:
             return text
         out, at = [], 0
-        for kind, a, b in sorted(all_spans(shared.value, text)[1], key=lambda s: (s[1], -s[2])):
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
             if a >= at:
                 out += [text[at:a], f"<{kind.upper()}>"]
             at = max(at, b)
@@ -385,7 +467,9 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            done = pa.array([clean(t.as_py()) for t in batch.column(i)], batch.schema.field(i).type)
+            texts = batch.column(i).to_pylist()
+            spans = [every for _, every in all_spans(shared.value, [t or "" for t in texts])]
+            done = pa.array([clean(t, s) for t, s in zip(texts, spans, strict=True)], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays([done if j == i else c for j, c in enumerate(batch.columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
@@ -400,3 +484,9 @@ def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     return find(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+if __name__ == "__main__":
+    made, found = train()
+    np.savez_compressed(FILE, losses=np.array(found[:40]), **{k: v.astype(np.float32) for k, v in made.p.items()})
+    print(f"{len(found)} steps, loss {np.mean(found[:40]):.2f} -> {np.mean(found[-40:]):.2f}")
