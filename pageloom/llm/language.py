@@ -7,12 +7,16 @@ binary search a character, and a shorter one where the n-gram is new. The langua
 cross-entropy per symbol wins. Part of the training rows is held back to calibrate rejection:
 a text is rejected when its cross-entropy lies far outside what its length allows.
 
-Training takes a bounded, documented sample: about ``max_docs`` labelled rows of at most
-``max_chars`` characters, chosen by a hash of the row. Prediction reads every whole text.
+Training takes a bounded, documented sample of each language: at most ``PER_LANGUAGE`` of its distinct
+labelled texts, those of the lowest hashes, and of each at most ``MAX_CHARS`` characters, from a place
+that its hash names. So a rare language, one of long texts only and one with a large group of copies
+are all learned. Prediction reads every whole text.
 
 Defined results: null texts and texts without any letter give ``und``, score 0 and are rejected;
-repeated rows get equal results; an empty table gives an empty result; where no row has a label,
-every text is ``und``; other columns are ignored.
+of languages with equal cross-entropy the first by name wins; repeated rows get equal results; an
+empty table gives an empty result; where no row has a label, every text is ``und``; letters beyond the
+``MOST`` most frequent of the sample, and letters not in it, are one symbol; other columns are kept,
+and those of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: Bounds of the training sample.
-MAX_DOCS, MAX_CHARS = 1600, 8192
+#: Bounds of the training sample: texts of a language, and characters of a text.
+PER_LANGUAGE, MAX_CHARS = 400, 8192
 #: Symbols 1 to MOST are letters seen in training; OTHER is any other letter; 0 is the blank.
-MOST, OTHER, BITS = 253, 254, 8
+MOST, OTHER, BITS = 65_533, 65_534, 16
 #: Whole texts are scored in pieces of so many characters, which bounds memory.
 PIECE = 1 << 19
 #: Rejection: standard deviations above the mean cross-entropy, beyond the worst held-back row.
@@ -60,7 +64,7 @@ class Model:
     def table(self) -> np.ndarray:
         """Code point to symbol."""
         if not hasattr(self, "_table"):
-            self._table = np.where(_letters(), OTHER, 0).astype(np.uint8)
+            self._table = np.where(_letters(), OTHER, 0).astype(np.uint16)
             self._table[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         return self._table
 
@@ -84,7 +88,7 @@ class Model:
 
     def score(self, text: str) -> tuple[np.ndarray, int, int]:
         """Summed negative log probability by language, symbols scored, letters among them."""
-        total, n, letters, past = np.zeros(len(self.langs)), 0, 0, np.zeros(ORDER - 1, np.uint8)
+        total, n, letters, past = np.zeros(len(self.langs)), 0, 0, np.zeros(ORDER - 1, np.uint16)
         for at in range(0, len(text), PIECE):
             s = self.symbols(text[at : at + PIECE])
             s = s[1:] if len(s) and not s[0] and not past[-1] else s
@@ -133,7 +137,7 @@ def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np
 
 def _kneser_ney(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from 1: distinct n-grams and their counts; lower orders count distinct predecessors."""
-    top = [np.r_[np.zeros(ORDER - 1, np.uint8), s] for s in texts]
+    top = [np.r_[np.zeros(ORDER - 1, np.uint16), s] for s in texts]
     keys, counts = np.unique(np.concatenate([packed(s) for s in top] or [np.empty(0, np.uint64)]), return_counts=True)
     found = [(keys, counts)]
     for order in range(ORDER - 1, 0, -1):
@@ -148,9 +152,9 @@ def train(rows: list[tuple[str, str]]) -> Model:
     langs = sorted({lang for lang, _ in rows})
     letters = np.bincount(np.concatenate([_codes(t) for _, t in rows] or [np.empty(0, np.int64)]), minlength=1)
     known = np.flatnonzero(letters)
-    known = known[[chr(c).isalpha() for c in known]] if len(known) else known
+    known = known[[chr(c).isalpha() for c in known.tolist()]] if len(known) else known
     alphabet = np.sort(known[np.argsort(-letters[known], kind="stable")][:MOST])
-    model = Model(langs, alphabet, [], [], -math.log(MOST + 2))
+    model = Model(langs, alphabet, [], [], -math.log(len(alphabet) + 2))
     if not langs:
         return model
     fit = {lang: [] for lang in langs}
@@ -196,13 +200,21 @@ def _calm(model: Model, k: int, texts: list[str]) -> tuple[float, float, float,
     return mean, between, within, float(np.max((loss - mean) / np.sqrt(between + within / n))) + SLACK
 
 
-def training_rows(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows, the same on every run: those of the lowest hashes."""
-    able = docs.where("text is not null and lang is not null").where(F.length("text").between(1, max_chars)).withColumn("mixed", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
-    n = able.count()
-    share = min(1.0, max_docs / max(n, 1))
-    got = able.where(F.col("mixed") < F.lit(int(share * (1 << 30)))).select("text", "lang").limit(2 * max_docs).collect() if n else []
-    return [(r["text"], r["lang"]) for r in got]
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled texts (text, language), the same on every run."""
+    mixed, size = F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.length("text")
+    part = F.substr("text", 1 + F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(size - max_chars + 1, F.lit(1))).cast("int"), F.lit(max_chars))
+    able = docs.where("text is not null and lang is not null").where(size > 0).select(F.col("lang").cast("string").alias("lang"), mixed.alias("mixed"), part.alias("part"))
+    sizes = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.approx_count_distinct("mixed").alias("n")).collect()}  # a row a language
+    if not sizes:
+        return []
+    # twice as many as wanted pass, as the numbers are estimates; the window sees those alone
+    limits = [(lang, min(1 << 30, int(2 * per_language / max(n, 1) * (1 << 30)))) for lang, n in sizes.items()]
+    limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])[F.col("lang")]
+    some = able.where(F.col("mixed") < limit).groupBy("lang", "mixed").agg(F.min("part").alias("part"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mixed"))
+    got = some.withColumn("nth", nth).where(F.col("nth") <= per_language).collect()  # at most per_language rows a language
+    return [(r["part"], r["lang"]) for r in got]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,3 +1,8 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyspark.sql.functions as F
 
@@ -6,15 +11,91 @@ from pageloom.llm import language
 SF = "/root/testdata/sf0.01"
 
 
-def test_probabilities_sum_to_one_and_match_plain_recursion():
-    model = language.train([("abab abba", "x"), ("abca abab", "x"), ("bcbc cbcb bcc", "y"), ("cbbc bcab", "y"), ("ab ab", "x"), ("cb cb", "y")])
-    n = len(model.alphabet)
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        head = rng.integers(0, n + 1, 3)
-        line = [np.uint64((int(head[0]) << 24) | (int(head[1]) << 16) | (int(head[2]) << 8) | s) for s in range(language.MOST + 2)]
-        p = np.exp(model.log_probs(np.array(line, np.uint64)).astype(float)).sum(axis=0)
-        assert np.allclose(p, 1, atol=1e-3), p
+def plain(rows):
+    """(symbols of a text, probability of a symbol after a history) by the textbook recursion, over dictionaries."""
+    rows = sorted((lang, text) for text, lang in rows)
+    letters = Counter(c for _, t in rows for c in t.lower() if c.isalpha())
+    alphabet = {c: k + 1 for k, c in enumerate(sorted(letters))}
+
+    def symbols(text):
+        line = [alphabet.get(c, language.OTHER) if c.isalpha() else 0 for c in text.lower()]
+        return [s for k, s in enumerate(line) if s or not k or line[k - 1]]
+
+    counts, seen = {}, Counter()
+    for lang, text in rows:
+        seen[lang] += 1
+        if seen[lang] % 3:  # every third row of a language calibrates
+            line = [0] * 3 + symbols(text)
+            counts.setdefault(lang, Counter()).update(tuple(line[k : k + 4]) for k in range(len(line) - 3))
+    orders = {}
+    for lang, top in counts.items():
+        orders[lang] = {4: top}
+        for n in (3, 2, 1):
+            orders[lang][n] = Counter(g[1:] for g in orders[lang][n + 1])  # distinct predecessors
+
+    def probability(lang, gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(alphabet) + 2)
+        found = orders[lang][n]
+        after = [c for g, c in found.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return probability(lang, gram[1:])
+        once, twice = (sum(c == k for c in found.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        return max(found[gram] - discount, 0) / sum(after) + discount * len(after) / sum(after) * probability(lang, gram[1:])
+
+    return symbols, probability, sorted(counts)
+
+
+ROWS = [("abab abba", "x"), ("abca abab", "x"), ("bcbc cbcb bcc", "y"), ("cbbc bcab", "y"), ("ab ab", "x"), ("cb cb", "y"), ("Ünï 中文 ab", "z"), ("中 ünüab", "z")]
+
+
+def test_every_probability_equals_the_plain_recursion():
+    model = language.train(ROWS)
+    _, probability, langs = plain(ROWS)
+    every = [0, *range(1, len(model.alphabet) + 1), language.OTHER]
+    rng = random.Random(0)
+    for _ in range(60):
+        head = [rng.choice(every) for _ in range(3)]
+        keys = np.array([sum(s << 16 * (3 - k) for k, s in enumerate((*head, last))) for last in every], np.uint64)
+        got = np.exp(model.log_probs(keys).astype(float))
+        want = [[probability(lang, (*head, last)) for lang in langs] for last in every]
+        assert model.langs == langs and np.allclose(got, want, rtol=1e-4)
+        assert np.allclose(got.sum(axis=0), 1, atol=1e-4)
+
+
+def test_predictions_equal_the_plain_recursion(spark):
+    """The query's way of a small table: the lowest cross-entropy by the plain recursion, ties to the first name."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(90):
+        lang = ("x", "y", "z")[k % 3]
+        bits = {"x": ["ab", "ba", "abc"], "y": ["cb", "bc", "bcc"], "z": ["zü", "üz", "a"]}[lang]
+        rows.append((k, " ".join(rng.choice(bits) for _ in range(rng.randint(1, 12))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_rows(docs.where(~language.held_out()))
+    assert sorted(sample) == sorted({(t, x) for k, t, x in rows if zlib.crc32(str(k).encode()) % 3 != 1})
+    symbols, probability, langs = plain(sample)
+    for r in language.identify(docs, language.train(sample)).collect():
+        line = [0] * 3 + symbols(r.text)
+        losses = [-sum(math.log(probability(lang, tuple(line[k : k + 4]))) for k in range(len(line) - 3)) for lang in langs]
+        best = min(losses)
+        assert losses[langs.index(r.lang_pred)] - best < 1e-3 and np.isclose(r.cross_entropy, best / (len(line) - 3), rtol=1e-4)
+
+
+def test_sample_holds_rare_languages_long_texts_and_copies_once(spark):
+    rows = [(k, f"the and of number {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}{'abcdefghijklmnopq'[k // 600]}", "en") for k in range(10_000)]
+    rows += [(20_000 + k, f"og det er ikke{'abcde'[k]}", "no") for k in range(5)]
+    rows += [(30_000 + k, "der die das und " * 2000 + "x" * k, "de") for k in range(3)]
+    rows += [(40_000 + k, "les copies de texte", "fr") for k in range(4000)] + [(50_000, "les autres textes", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_rows(docs)
+    n = Counter(lang for _, lang in got)
+    assert n["en"] == language.PER_LANGUAGE and n["no"] == 5 and n["de"] == 3 and n["fr"] == 2
+    assert all(0 < len(t) <= language.MAX_CHARS for t, _ in got) and sorted(got) == sorted(language.training_rows(docs.repartition(7)))
+    model = language.train(got)
+    assert model.predict("det og ikke er det")[0] == "no" and model.predict("und das die der")[0] == "de"
 
 
 def test_held_out_accuracy_and_rejection(spark):
