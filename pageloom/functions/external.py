@@ -13,9 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.operators.graph import token_windows
-
-SPAN = "struct<text:string,font_name:string,size:double,flags:int,chars:array<struct<c:string,x0:double,x1:double>>>"
+CHARS = "array<struct<c:string,x0:double,x1:double>>"
 
 
 def compiled(files: DataFrame, compile_one: Callable[[str, str], tuple[str, str]], log_chars: int = 12_000) -> DataFrame:
@@ -54,13 +52,18 @@ def first_that_compiles(engines: list[Callable[[str, str], tuple[str, str]]]) ->
 
 
 def extracted_spans(items: DataFrame, read_spans: Callable[[str, int, tuple[float, float, float, float]], list[dict]]) -> DataFrame:
-    """Raw spans of items (doc_id, global_order, pdf, source_page_idxs, bbox): a row a span, in reading order.
+    """Raw spans of items (doc_id, global_order, pdf, page_idx, source_page_idxs, bbox): a row a span, in reading order.
 
-    ``read_spans(pdf, page, box)`` gives dicts of text, font_name, size, flags and chars; a box whose
-    page is out of range or can't be read is skipped, and blank spans are dropped.
+    ``read_spans(pdf, page, box)`` gives dicts of text, font_name, size, flags and chars (dicts of c, x0
+    and x1), from which the text is rebuilt later. An item whose pages aren't as many as its boxes has
+    all of them on its page_idx; a box whose page is unknown, out of range or can't be read is skipped,
+    and spans without text or characters are dropped.
     """
-    boxes = items.select("doc_id", "global_order", "pdf", F.posexplode(F.arrays_zip(F.col("source_page_idxs").alias("page"), F.col("bbox").alias("box"))).alias("chunk", "z"))
-    boxes = boxes.select("doc_id", "global_order", "pdf", "chunk", "z.page", "z.box.*")
+    pages = F.col("source_page_idxs")
+    if "page_idx" in items.columns:
+        pages = F.when(F.size("source_page_idxs") == F.size("bbox"), pages).otherwise(F.array_repeat("page_idx", F.size("bbox")))
+    boxes = items.select("doc_id", "global_order", "pdf", F.posexplode(F.arrays_zip(pages.alias("page"), F.col("bbox").alias("box"))).alias("chunk", "z"))
+    boxes = boxes.select("doc_id", "global_order", "pdf", "chunk", "z.page", "z.box.*").where("page >= 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,13 +73,15 @@ def extracted_spans(items: DataFrame, read_spans: Callable[[str, int, tuple[floa
                     spans = read_spans(r["pdf"], r["page"], (r["x0"], r["y0"], r["x1"], r["y1"]))
                 except Exception:  # noqa: BLE001  an unreadable box has no spans
                     spans = []
-                out += [(r["doc_id"], r["global_order"], r["chunk"], k, s.get("text"), s.get("font_name"), s.get("size"), s.get("flags")) for k, s in enumerate(spans) if (s.get("text") or "").strip()]
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32())
-            names = ["doc_id", "global_order", "chunk", "pos", "text", "font_name", "size", "flags"]
+                kept = [(k, s) for k, s in enumerate(spans) if (s.get("text") or "").strip() or s.get("chars")]
+                out += [(r["doc_id"], r["global_order"], r["chunk"], k, s.get("text"), s.get("font_name"), s.get("size"), s.get("flags"), s.get("chars")) for k, s in kept]
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            chars = pa.list_(pa.struct([("c", pa.string()), ("x0", pa.float64()), ("x1", pa.float64())]))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), chars)
+            names = ["doc_id", "global_order", "chunk", "pos", "text", "font_name", "size", "flags", "chars"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return boxes.mapInArrow(run, "doc_id long, global_order int, chunk int, pos int, text string, font_name string, size double, flags int")
+    return boxes.mapInArrow(run, f"doc_id long, global_order int, chunk int, pos int, text string, font_name string, size double, flags int, chars {CHARS}")
 
 
 def text_vectors(items: DataFrame, tokenize: Callable[[str], list[int]], embed: Callable[[list[list[int]]], np.ndarray], width: int = 768, max_length: int = 512, stride: int = 384, batch: int = 16) -> DataFrame:
@@ -100,6 +105,3 @@ def text_vectors(items: DataFrame, tokenize: Callable[[str], list[int]], embed:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), vectors], names=["doc_id", "global_order", "vector"])
 
     return items.select("doc_id", "global_order", "embedding_text").mapInArrow(run, "doc_id long, global_order int, vector array<float>")
-
-
-__all__ = ["compiled", "extracted_spans", "first_that_compiles", "text_vectors", "token_windows"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.strip sees it, for Java regular expressions.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same characters, for trimming.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Terminal punctuation and list markers, in their order of precedence.
 TERMINAL = (".", "?", "!", "。", "？", "！", ";", "；")
 CJK = "一二三四五六七八九十"
@@ -23,15 +25,26 @@ MARKERS = (
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    """One pass from the end; a regular expression would try every run of blanks in the text."""
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(BLANKS))
+
+
+def collapsed(c: Column) -> Column:
+    """Text of an element: runs of white space are one blank, none at the ends; empty for null."""
+    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, in ISO form."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
 def ends_terminal(c: Column) -> Column:

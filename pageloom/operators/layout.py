@@ -20,15 +20,20 @@ WIDE = ("title", "table", "chart", "image", "equation_interline", "algorithm", "
 
 @dataclass(frozen=True)
 class LayoutConfig:
-    """Thresholds for coordinates normalised to 0..1000."""
-
-    full_width_ratio: float = 0.62
-    cross_column_left: float = 380.0
-    cross_column_right: float = 620.0
-    min_column_gap: float = 130.0
-    min_blocks_per_column: int = 2
-    y_tolerance: float = 8.0
-    drop_empty_textual_blocks: bool = True
+    """Thresholds for coordinates normalised to 0..1000. The defaults.
+
+    A block is wide from ``wide_share`` of the page on, or if it is of a wide type and reaches from
+    ``crosses_from`` to ``crosses_to``; a page has two columns if ``column_blocks`` blocks lie on each
+    side of a gap of ``column_gap`` between centres; a wide block begins a region ``rise`` above its top.
+    """
+
+    wide_share: float = 0.62
+    crosses_from: float = 380.0
+    crosses_to: float = 620.0
+    column_gap: float = 130.0
+    column_blocks: int = 2
+    rise: float = 8.0
+    drop_blank_text: bool = True
     keep_auxiliary: bool = False
 
 
@@ -46,14 +51,14 @@ def parse_bbox(bbox: Column) -> Column:
 def geometry(blocks: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:
     kind = F.coalesce("type", F.lit(""))
     width = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0"))
-    across = (F.col("x0") <= cfg.cross_column_left) & (F.col("x1") >= cfg.cross_column_right)
+    across = (F.col("x0") <= cfg.crosses_from) & (F.col("x1") >= cfg.crosses_to)
     return blocks.withColumns({
         "cx": (F.col("x0") + F.col("x1")) / 2.0,
         "cy": (F.col("y0") + F.col("y1")) / 2.0,
         "width": width,
         "is_textual": kind.isin(*TEXTUAL),
         "is_auxiliary": kind.isin(*AUXILIARY),
-        "is_full_width": (width >= 1000.0 * cfg.full_width_ratio) | (kind.isin(*WIDE) & across),
+        "is_full_width": (width >= 1000.0 * cfg.wide_share) | (kind.isin(*WIDE) & across),
     })
 
 
@@ -62,7 +67,7 @@ def sortable(blocks: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame
     rows = geometry(blocks, cfg)
     if not cfg.keep_auxiliary:
         rows = rows.where("not is_auxiliary")
-    return rows.where("not (is_textual and coalesce(text, '') = '')") if cfg.drop_empty_textual_blocks else rows
+    return rows.where("not (is_textual and coalesce(text, '') = '')") if cfg.drop_blank_text else rows
 
 
 def split_at(rows: DataFrame, centre: str, candidate: Column, page: Window, order: list, gap: float, least: int) -> Column:
@@ -77,7 +82,7 @@ def split_at(rows: DataFrame, centre: str, candidate: Column, page: Window, orde
 def with_columns(blocks: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Sortable blocks with the page's split (null if it has one column) and each block's column_id (null if full width)."""
     rows = sortable(blocks, cfg)
-    gap = split_at(rows, "cx", ~F.col("is_full_width"), _page(), ["original_index"], cfg.min_column_gap, cfg.min_blocks_per_column)
+    gap = split_at(rows, "cx", ~F.col("is_full_width"), _page(), ["original_index"], cfg.column_gap, cfg.column_blocks)
     rows = rows.withColumn("_gap", gap).withColumn("split", F.max("_gap").over(_page())["mid"]).drop("_gap")
     column = F.when(F.col("is_full_width"), F.lit(None)).when(F.col("split").isNull() | (F.col("cx") < F.col("split")), 0).otherwise(1)
     return rows.withColumn("column_id", column.cast("int"))
@@ -90,7 +95,7 @@ def reading_order(blocks: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> Data
     """
     rows = with_columns(blocks, cfg)
     full = F.col("is_full_width")
-    key = F.when(full, F.col("y0") - cfg.y_tolerance).otherwise(F.col("cy"))
+    key = F.when(full, F.col("y0") - cfg.rise).otherwise(F.col("cy"))
     seen = _page().orderBy(key, (~full).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
     rank = F.row_number().over(_page().orderBy((~full).cast("int"), "y0", "x0", "original_index")) - 1
     rows = rows.withColumn("region", F.when(full, rank).otherwise(F.sum(full.cast("int")).over(seen)))
@@ -114,7 +119,7 @@ def page_summary(blocks: DataFrame, cfg: LayoutConfig = LayoutConfig()) -> DataF
     rows = geometry(blocks, cfg).groupBy("doc_id", "page_idx").agg(
         F.count("*").alias("input_blocks"),
         F.count_if(F.col("is_auxiliary") & F.lit(not cfg.keep_auxiliary)).alias("dropped_auxiliary_blocks"),
-        F.count_if(F.col("is_textual") & (F.coalesce("text", F.lit("")) == "") & F.lit(cfg.drop_empty_textual_blocks)).alias("dropped_empty_textual_blocks"),
+        F.count_if(F.col("is_textual") & (F.coalesce("text", F.lit("")) == "") & F.lit(cfg.drop_blank_text)).alias("dropped_empty_textual_blocks"),
     )
     out = text_runs(reading_order(blocks, cfg)).groupBy("doc_id", "page_idx").agg(
         F.count("*").alias("output_blocks"), F.countDistinct("column_id").alias("column_count"), F.count_if("is_full_width").alias("full_width_blocks"), F.countDistinct("text_run_id").alias("text_runs")

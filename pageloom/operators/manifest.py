@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import normalized_id
+
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key by the order; one row a key is kept before anything is shuffled."""
@@ -22,31 +24,74 @@ def unprocessed(rows: DataFrame, processed: DataFrame, key: str, force: bool = F
     return rows if force else rows.join(processed.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def running(rows: DataFrame, value: Column, order: str, name: str, parts: int = 1024) -> DataFrame:
+def _range_of(value: Column, ends: list) -> Column:
+    """The number of ``ends`` (sorted) that are at most ``value``, by binary search."""
+    if not ends:
+        return F.lit(0)
+    bounds = F.array(*map(F.lit, ends))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(bounds, mid) <= value)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(ends).bit_length() + 1)), start, halve, lambda s: s["lo"])
+
+
+def running(rows: DataFrame, value: Column, order: str, name: str, parts: int = 256) -> DataFrame:
     """Running sums over the whole table in the order, without a window over one partition.
 
-    Rows are ranged over ``parts`` by the order; sums of the parts before (``parts`` numbers) are
-    added to sums within a part.
+    Rows are ranged over about ``parts`` parts, whose ends are values of a bounded sample of the order
+    (its lowest hashes), so parts hold about as many rows however the values are spread; sums of the
+    parts before are added to sums within a part. ``order`` may be of any type that sorts, and names
+    one row each; rows without it come last.
     """
-    placed = rows.withColumn("_v", value)
-    low, high = placed.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    placed = placed.withColumn("_part", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)))
+    some = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(16 * parts).collect())
+    ends = sorted(set(some[16::16]) if len(some) > 16 else set())
+    place = F.when(F.col(order).isNull(), len(ends) + 1).otherwise(_range_of(F.col(order), ends))
+    placed = rows.withColumn("_v", value).withColumn("_part", place)
     sums = placed.groupBy("_part").agg(F.sum("_v").alias("_s"))
     before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    within = F.sum("_v").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("_v").over(Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     return placed.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_w") + F.col("_b")).drop("_v", "_part", "_w", "_b")
 
 
 def accept_quota(rows: DataFrame, ok: Column, order: str, target: int, initial: int = 0) -> DataFrame:
-    """Accepted rows with accepted_index from initial + 1 up to the target, in the order."""
-    return running(rows.where(ok), F.lit(1), order, "_n").withColumn("accepted_index", F.col("_n") + initial).where(F.col("accepted_index") <= target).drop("_n")
+    """Accepted rows with accepted_index from initial + 1 up to the target, in the order, rows without it last.
+
+    Only the rows of the quota are numbered; they are taken as a limit, a few of each partition.
+    """
+    first = rows.where(ok).orderBy(F.col(order).asc_nulls_last()).limit(max(0, target - initial))
+    return first.withColumn("accepted_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(order).asc_nulls_last())) + initial)
 
 
 def success_quota(rows: DataFrame, ok: Column, order: str, target: int, initial: int = 0) -> DataFrame:
-    """Rows attempted until the target number of successes is reached, in the order."""
-    done = running(rows, F.coalesce(ok, F.lit(False)).cast("int"), order, "_n")
-    return done.where(F.col("_n") - F.coalesce(ok, F.lit(False)).cast("int") + initial < target).withColumn("successes", F.col("_n") + initial).drop("_n")
+    """Rows attempted until the target number of successes is reached, in the order, rows without it last.
+
+    The success that fills the quota is found first, as a limit; only rows up to it are counted.
+    """
+    okay, wanted = F.coalesce(ok, F.lit(False)), max(0, target - initial)
+    last = rows.where(okay).select(order).orderBy(F.col(order).asc_nulls_last()).limit(wanted).agg(F.count("*").alias("n"), F.count(order).alias("known"), F.max(order).alias("at")).first()
+    if wanted and last["n"] == last["known"] == wanted:
+        rows = rows.where(F.col(order) <= F.lit(last["at"]))
+    done = running(rows if wanted else rows.limit(0), okay.cast("int"), order, "_n")
+    return done.where(F.col("_n") - okay.cast("int") + initial < target).withColumn("successes", F.col("_n") + initial).drop("_n")
+
+
+def id_set(records: DataFrame, key: str = "arxiv_id", normalise: bool = True) -> DataFrame:
+    """The distinct ids of records: normalised, those that are none left out, or as they stand."""
+    raw = F.col(key).cast("string")
+    ids = normalized_id(raw) if normalise else F.nullif(raw, F.lit(""))
+    return records.select(ids.alias(key)).where(F.col(key).isNotNull()).distinct()
+
+
+def id_union(*sets: DataFrame) -> DataFrame:
+    """The ids that any of the sets holds, once each."""
+    out = sets[0]
+    for more in sets[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 #: Names of main files.

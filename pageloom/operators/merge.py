@@ -19,6 +19,8 @@ FLOATS = ("algorithm", "chart", "code", "equation", "equation_interline", "figur
 
 def _doc():
     return Window.partitionBy("doc_id")
+#: What an item keeps of its head besides, where the blocks have it.
+KEPT = ("raw_type", "list_type", "reference_items", "block")
 UP_TO = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -42,7 +44,8 @@ def items_v3(ordered: DataFrame, **thresholds: float) -> DataFrame:
 
     Only parts of one item are gathered, a few blocks; a document is never collected.
     """
-    part = F.struct("page_idx", "visual_order", "original_index", "text", F.struct("x0", "y0", "x1", "y1").alias("box"), "type", "column_id", "is_full_width", "is_textual")
+    kept = [c for c in KEPT if c in ordered.columns]
+    part = F.struct("page_idx", "visual_order", "original_index", "text", F.struct("x0", "y0", "x1", "y1").alias("box"), "type", "column_id", "is_full_width", "is_textual", *kept)
     rows = merge_groups(ordered, **thresholds).groupBy("doc_id", "grp").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     head = F.get("parts", F.lit(0))
     text = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), head["text"], lambda s, p: join_continuation(s, p["text"]))
@@ -51,6 +54,7 @@ def items_v3(ordered: DataFrame, **thresholds: float) -> DataFrame:
         *[head[c].alias(c) for c in ("type", "page_idx", "visual_order", "original_index", "column_id", "is_full_width", "is_textual")],
         text.alias("text"), F.size("parts").alias("merge_count"), F.col("parts.page_idx").alias("source_page_idxs"),
         F.col("parts.visual_order").alias("source_visual_orders"), F.col("parts.original_index").alias("source_original_indexes"), F.col("parts.box").alias("bbox"),
+        *[(F.coalesce(head[c], F.array().cast("array<string>")) if c == "reference_items" else head[c]).alias(c) for c in kept],
     )
 
 
@@ -80,7 +84,7 @@ def float_merged(items: DataFrame, max_floats: int = 3, top: float = 760.0) -> D
         *[both(c).alias(c) for c in ("source_page_idxs", "source_visual_orders", "source_original_indexes", "bbox")],
         F.when(used, 1).alias("float_continuation_merge_count"),
         F.when(used, F.sequence(F.col("global_order") + 1, n["global_order"] - 1)).alias("skipped_float_global_orders"),
-        F.when(used, F.slice("_types", F.lit(1), skipped)).alias("skipped_float_types"),
+        F.when(used, F.slice("_types", F.lit(1), skipped)).alias("skipped_float_types"), *[c for c in KEPT if c in items.columns],
     )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import strip
+
 #: Parts of font names by style, and characters of formulas.
 BOLD = ("bold", "bd", "blk", "black", "heavy", "demi", "medi")
 ITALIC = ("ital", "italic", "oblique", "slant", "slanted")
@@ -87,13 +91,22 @@ def span_text(chars: Column, size: Column, text: Column) -> Column:
     return F.when(F.coalesce(F.size(chars), F.lit(0)) > 0, F.aggregate(known, start, step)["out"]).otherwise(F.coalesce(text, F.lit("")))
 
 
-def merge_spans(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adjacent spans of equal style as one: (keys, span, text, style fields, char_count)."""
+def numbered_spans(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Spans with the number of the run of equal style that they belong to."""
     by = Window.partitionBy(*keys).orderBy(order)
     style = F.struct(*KEY)
     rows = spans.withColumn("_new", (~F.coalesce(F.lag(style).over(by).eqNullSafe(style), F.lit(False))).cast("int"))
-    rows = rows.withColumn("span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    grouped = rows.groupBy(*keys, "span", *KEY).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_parts"), F.sum(F.length("text")).alias("char_count"))
+    return rows.withColumn("span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+
+
+def span_sizes(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, span, font_size, char_count) of the spans that ``merge_spans`` makes, without gathering their text."""
+    return numbered_spans(spans, keys, order).groupBy(*keys, "span", "font_size").agg(F.sum(F.length("text")).alias("char_count"))
+
+
+def merge_spans(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adjacent spans of equal style as one: (keys, span, text, style fields, char_count)."""
+    grouped = numbered_spans(spans, keys, order).groupBy(*keys, "span", *KEY).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_parts"), F.sum(F.length("text")).alias("char_count"))
     first = F.get("_parts", F.lit(0))["text"]
     rest = F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0)))
     return grouped.select(*keys, "span", F.aggregate(rest, first, lambda s, p: join_spans(s, p["text"])).alias("text"), *KEY, "char_count")
@@ -101,7 +114,8 @@ def merge_spans(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def baseline_size(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The font size of most characters (at least one a span), the first seen on ties."""
-    weight = F.greatest(F.lit(1), F.coalesce(F.nullif(F.col("char_count"), F.lit(0)), F.length("text"), F.lit(0)))
+    length = [F.length("text")] if "text" in spans.columns else []  # span_sizes has none: its counts are lengths
+    weight = F.greatest(F.lit(1), F.coalesce(F.nullif(F.col("char_count"), F.lit(0)), *length, F.lit(0)))
     sizes = spans.where("font_size is not null").groupBy(*keys, "font_size").agg(F.sum(weight).alias("n"), F.min(order).alias("first"))
     return sizes.groupBy(*keys).agg(F.max_by("font_size", F.struct("n", -F.col("first"))).alias("baseline_size"))
 
@@ -112,3 +126,43 @@ def clip_rect(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, hei
         F.greatest(F.lit(0.0), x0 / 1000.0 * width - margin).alias("x0"), F.greatest(F.lit(0.0), y0 / 1000.0 * height - margin).alias("y0"),
         F.least(width, x1 / 1000.0 * width + margin).alias("x1"), F.least(height, y1 / 1000.0 * height + margin).alias("y1"),
     )
+
+
+@dataclass(frozen=True)
+class StyleConfig:
+    """Points added around a box, and the step of font sizes."""
+
+    margin: float = 2.0
+    size_step: float = 0.5
+
+
+SPAN_FIELDS = ("text", *KEY, "char_count")
+
+
+def classified(raw: DataFrame, cfg: StyleConfig = StyleConfig()) -> DataFrame:
+    """Raw spans (doc_id, global_order, chunk, pos, text, font_name, size, flags, chars) with their text rebuilt and their style; blank ones go."""
+    size = F.coalesce(F.col("size"), F.lit(0.0))
+    chars = F.col("chars") if "chars" in raw.columns else F.lit(None).cast("array<struct<c:string,x0:double,x1:double>>")
+    rows = raw.select("doc_id", "global_order", (F.col("chunk").cast("long") * (1 << 32) + F.col("pos")).alias("at"), span_text(chars, size, F.col("text")).alias("text"), font_name(F.col("font_name")).alias("font_name"), size.alias("size"), F.coalesce("flags", F.lit(0)).alias("flags"))
+    name, flags, text = F.col("font_name"), F.col("flags"), F.col("text")
+    return rows.where(strip(text) != "").select(
+        "doc_id", "global_order", "at", "text", "font_name", size_bucket(F.col("size"), cfg.size_step).alias("font_size"), is_bold(flags, name).alias("is_bold"),
+        is_italic(flags, name).alias("is_italic"), is_math(name, text).alias("is_inline_math"), is_code(name).alias("is_inline_code"),
+    )
+
+
+def styled_items(items: DataFrame, raw: DataFrame, cfg: StyleConfig = StyleConfig()) -> DataFrame:
+    """``items`` (doc_id, global_order, ...) with style_spans in reading order, style_baseline_size, style_span_count and style_extract_status.
+
+    An item without spans has an empty list, no baseline and the status "empty". Only the spans of one
+    item are gathered.
+    """
+    keys = ["doc_id", "global_order"]
+    merged = merge_spans(classified(raw, cfg), keys, "at")
+    spans = F.sort_array(F.collect_list(F.struct("span", *SPAN_FIELDS)))
+    nested = merged.groupBy(*keys).agg(F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in SPAN_FIELDS])).alias("style_spans"))
+    found = nested.join(baseline_size(merged, keys, "span").withColumnRenamed("baseline_size", "style_baseline_size"), keys, "left")
+    joined = items.join(found, keys, "left")
+    none = F.array().cast(found.schema["style_spans"].dataType)
+    rows = joined.withColumn("style_spans", F.coalesce("style_spans", none)).withColumn("style_span_count", F.size("style_spans"))
+    return rows.withColumn("style_extract_status", F.when(F.col("style_span_count") > 0, "ok").otherwise("empty"))

@@ -82,6 +82,14 @@ def clip_rect(spark, sf):
     return rows.select(*KEYS, F.col("r.x0").alias("cx0"), F.col("r.y0").alias("cy0"), F.col("r.x1").alias("cx1"), F.col("r.y1").alias("cy1"))
 
 
+@registered("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN CAST(o_totalprice AS DOUBLE) ELSE 0 END AS x0, CASE WHEN o_orderkey % 5 = 4 THEN CAST(o_orderkey AS DOUBLE) ELSE 0 END AS y0,
+      CASE WHEN o_orderkey % 5 = 4 THEN CAST(o_custkey AS DOUBLE) ELSE 1000 END AS x1, CAST(CASE WHEN o_orderkey % 5 = 4 THEN 7 ELSE 1000 END AS DOUBLE) AS y1 FROM orders""")
+def parse_bbox(spark, sf):
+    o = X.table(spark, sf, "orders")
+    box = F.slice(F.array(F.col("o_totalprice").cast("double"), F.col("o_orderkey").cast("double"), F.col("o_custkey").cast("double"), F.lit(7.0), F.lit(8.0)), 1, (F.col("o_orderkey") % 5).cast("int"))
+    return o.select("o_orderkey", layout.parse_bbox(F.when(F.col("o_orderkey") % 5 != 3, box)).alias("b")).select("o_orderkey", "b.*")
+
+
 # ---- text rules
 
 
@@ -448,7 +456,32 @@ def span_join(spark, sf):
     SELECT doc_id, font_size AS baseline_size FROM totals QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1"""
 )
 def baseline_size(spark, sf):
-    return style.baseline_size(_merged(spark, sf), ["doc_id"], "span")
+    return style.baseline_size(style.span_sizes(_styled(spark, sf), ["doc_id"], "pos"), ["doc_id"], "span")
+
+
+@registered(
+    f"""WITH {_STYLED.replace("doc_id, pos, text, list_extract", "doc_id, pos, CASE WHEN pos % 9 = 4 THEN ' ' ELSE text END AS text, list_extract")},
+    items AS (SELECT doc_id, unnest(range(0, 1 + (SELECT max(pos) FROM raw_spans) // 40)) AS global_order FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT DISTINCT doc_id, pos // 40 FROM raw_spans WHERE doc_id % 10 <> 3),
+    rows AS (SELECT *, pos // 40 AS global_order FROM styled WHERE trim(text) <> ''),
+    breaks AS (SELECT *, CAST(coalesce(lag((font_name, font_size, is_bold, is_italic, is_inline_math, is_inline_code)) OVER w = (font_name, font_size, is_bold, is_italic, is_inline_math, is_inline_code), false) AS INTEGER) AS same FROM rows WINDOW w AS (PARTITION BY doc_id, global_order ORDER BY pos)),
+    islands AS (SELECT *, sum(1 - same) OVER (PARTITION BY doc_id, global_order ORDER BY pos) - 1 AS span FROM breaks),
+    merged AS (
+      SELECT doc_id, global_order, span, list_reduce(list(text ORDER BY pos), lambda a, b: {_span_sql("a", "b")}) AS text, any_value(font_size) AS font_size, sum(length(text)) AS char_count, bool_or(is_bold) AS is_bold
+      FROM islands GROUP BY doc_id, global_order, span),
+    totals AS (SELECT doc_id, global_order, font_size, sum(greatest(1, char_count)) AS n, min(span) AS first FROM merged GROUP BY ALL),
+    base AS (SELECT doc_id, global_order, font_size AS style_baseline_size FROM totals QUALIFY row_number() OVER (PARTITION BY doc_id, global_order ORDER BY n DESC, first) = 1),
+    nested AS (SELECT doc_id, global_order, count(*) AS k, string_agg(text || '/' || char_count || '/' || CAST(is_bold AS INTEGER), '|' ORDER BY span) AS spans FROM merged GROUP BY ALL)
+    SELECT doc_id, CAST(global_order AS INTEGER) AS global_order, coalesce(spans, '') AS spans, style_baseline_size, CAST(coalesce(k, 0) AS INTEGER) AS style_span_count, CASE WHEN k > 0 THEN 'ok' ELSE 'empty' END AS style_extract_status
+    FROM items LEFT JOIN nested USING (doc_id, global_order) LEFT JOIN base USING (doc_id, global_order)"""
+)
+def styled_items(spark, sf):
+    raw = X.raw_spans(spark, sf).withColumn("global_order", F.expr("pos div 40").cast("int"))
+    last = raw.agg(F.max("global_order")).first()[0]
+    listed = X.table(spark, sf, "documents").where("doc_id % 10 = 3").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("global_order"))
+    items = listed.unionByName(raw.where("doc_id % 10 <> 3").select("doc_id", "global_order").distinct())
+    spans = raw.select("doc_id", "global_order", F.expr("pos % 40 div 20").cast("int").alias("chunk"), "pos", F.when(F.col("pos") % 9 == 4, " ").otherwise(F.col("text")).alias("text"), F.col("raw_font").alias("font_name"), "size", "flags")
+    said = F.array_join(F.transform("style_spans", lambda s: F.concat_ws("/", s["text"], s["char_count"].cast("string"), s["is_bold"].cast("int").cast("string"))), "|")
+    return style.styled_items(items, spans).select("doc_id", "global_order", said.alias("spans"), "style_baseline_size", "style_span_count", "style_extract_status")
 
 
 @registered(
@@ -465,6 +498,25 @@ def char_gap_text(spark, sf):
     return raw.select("doc_id", "pos", style.span_text(chars, F.col("size"), F.col("text")).alias("text"))
 
 
+# ---- id sets
+
+
+@registered(f"{_M} SELECT DISTINCT arxiv_id FROM ids WHERE arxiv_id IS NOT NULL")
+def id_set_normalised(spark, sf):
+    return manifest.id_set(X.manifest(spark, sf).withColumnRenamed("raw_id", "arxiv_id"))
+
+
+@registered(f"{_M} SELECT DISTINCT raw_id AS arxiv_id FROM manifest WHERE raw_id <> ''")
+def id_set_raw(spark, sf):
+    return manifest.id_set(X.manifest(spark, sf).withColumnRenamed("raw_id", "arxiv_id"), normalise=False)
+
+
+@registered(f"{_M} SELECT DISTINCT arxiv_id FROM ids WHERE arxiv_id IS NOT NULL AND (status = 'F' OR line % 11 = 0)")
+def id_set_union(spark, sf):
+    rows = X.manifest(spark, sf).withColumnRenamed("raw_id", "arxiv_id")
+    return manifest.id_union(manifest.id_set(rows.where("status = 'F'")), manifest.id_set(rows.where("line % 11 = 0")), manifest.id_set(rows.limit(0)))
+
+
 # ---- nested content
 
 
@@ -486,3 +538,27 @@ def extract_text(spark, sf):
 def reference_items(spark, sf):
     rows = _json_blocks(spark, sf).withColumn("r", nested.reference_items("block"))
     return rows.select("conv_id", "turn", F.array_join("r", "|").alias("items"), F.size("r").alias("n"))
+
+
+@registered("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'paragraph' END AS type, CASE turn % 3 WHEN 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'reference' ELSE 'list' END WHEN 1 THEN 'paragraph' END AS logical_type FROM conversations")
+def logical_type(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "list").when(F.col("turn") % 3 == 1, "paragraph")
+    listed = F.when(F.col("conv_id") % 2 == 0, "reference_list").otherwise("text_list")
+    rows = c.select("conv_id", "turn", F.to_json(F.struct(kind.alias("type"), F.struct(listed.alias("list_type"), "text").alias("content"))).alias("block"))
+    return nested.block_fields(rows, "block").select("conv_id", "turn", "type", "logical_type")
+
+
+@registered(
+    S.query(
+        S.V3,
+        """SELECT doc_id, global_order, type AS raw_type, CASE WHEN type = 'list' THEN 'reference_list' END AS list_type, CASE WHEN type = 'list' AND indexes[1] % 2 = 0 THEN 'r' || indexes[1] ELSE '' END AS refs,
+      '{"k":' || page_idx || '}' AS block FROM v3""",
+    )
+)
+def item_lineage(spark, sf):
+    kind, at = F.col("type"), F.col("original_index")
+    refs = F.when((kind == "list") & (at % 2 == 0), F.array(F.concat(F.lit("r"), at.cast("string"))))
+    rows = X.blocks(spark, sf).withColumns({"raw_type": kind, "list_type": F.when(kind == "list", "reference_list"), "reference_items": refs, "block": F.concat(F.lit('{"k":'), F.col("page_idx").cast("string"), F.lit("}"))})
+    items = merge.items_v3(layout.reading_order(rows))
+    return items.select("doc_id", "global_order", "raw_type", "list_type", F.array_join("reference_items", ",").alias("refs"), "block")

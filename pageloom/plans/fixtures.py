@@ -30,9 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for work on each text, dealt over the cores if its files make fewer tasks than that."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout blocks: a row for each line of ``documents``, and the literal documents; partitioned by document once."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
     h, bare = (F.col("doc_id") * 7919 + F.col("pos") * 10427) % 1000, F.expr("trim(trailing '.!?' from t)")
     slot, ten, seven = F.col("pos") % 12, h % 10, h % 7
     kind = F.when(ten == 0, "title").when(ten == 1, "table").when(ten == 2, "list").when(ten == 3, "page_number").otherwise("paragraph")
@@ -86,7 +92,7 @@ FONTS = ("times", "times-bold", "cmmi10", "courier", "ABCDEF+NimbusRomNo9L-Regu"
 
 def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw spans: words of the documents in order, with font, size and flags by an integer hash."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where("text <> ''")
+    words = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where("text <> ''")
     h = (F.col("doc_id") * 31 + F.expr("pos div 3") * 17) % 97
     return words.select("doc_id", F.col("pos").cast("long").alias("pos"), "text", F.get(F.array(*map(F.lit, FONTS)), (h % 6).cast("int")).alias("raw_font"), (8.25 + (h % 7) * 0.25).alias("size"), ((h * 3) % 32).cast("int").alias("flags"))
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import collapsed
 from pageloom.sources.layout_json import safe_member
 
 MEGABYTE = 1 << 20
+ATOM = "{http://www.w3.org/2005/Atom}"
 
 
 def members(raw: bytes, most: int) -> list[tuple[str, int, str]]:
@@ -79,6 +84,63 @@ def ready_sources(spark: SparkSession, path: str) -> int:
     return files.select(F.substring_index(F.substring_index("path", root, -1), "/", 1).alias("folder")).distinct().count()
 
 
+class FetchFailed(Exception):
+    """A fetch that failed; a permanent failure isn't tried again."""
+
+    def __init__(self, message: str, permanent: bool = False):
+        super().__init__(message)
+        self.permanent = permanent
+
+
+def retrying(fetch: Callable[[str], bytes], retries: int = 3, sleep: float = 3.0, pause: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[bytes | None, bool, str | None]]:
+    """A fetcher for ``fetched`` from one that returns a body or raises: tries again after a pause, and takes an empty body as a failure."""
+
+    def run(paper: str) -> tuple[bytes | None, bool, str | None]:
+        said, permanent = "not tried", False
+        for attempt in range(retries):
+            if attempt:
+                pause(sleep)
+            try:
+                if body := fetch(paper):
+                    return body, False, None
+                said = "empty body"
+            except FetchFailed as e:
+                said, permanent = str(e), e.permanent
+                if permanent:
+                    break
+            except Exception as e:  # noqa: BLE001  whatever a fetcher raises is that try's outcome
+                said = f"{type(e).__name__}: {e}"
+        return None, permanent, said[:500]
+
+    return run
+
+
+def feed_pages(fetch: Callable[[dict[str, str]], str], year: int, limit: int, batch: int = 100, sleep: float = 3.0, pause: Callable[[float], None] = time.sleep) -> Iterator[tuple[int, str]]:
+    """(position, xml) of a feed's pages for ``atom_entries``: until ``limit`` ids of the year are there, or a page has no entries.
+
+    ``fetch`` takes a page's query; where the next page starts depends on this one, so they come one after another.
+    """
+    start, seen, position = 0, set(), 0
+    while len(seen) < limit:
+        if position:
+            pause(sleep)
+        # fixed values: the query of the feed
+        page = fetch({
+            "search_query": f"submittedDate:[{year}01010000 TO {year}12312359]", "start": str(start), "max_results": str(min(batch, limit - len(seen))),
+            "sortBy": "submittedDate", "sortOrder": "ascending",
+        })
+        entries = ElementTree.fromstring(page).findall(f"{ATOM}entry")
+        if not entries:
+            return
+        yield position, page
+        for entry in entries:
+            last = (entry.findtext(f"{ATOM}id") or "").strip().rstrip("/").rsplit("/", 1)[-1]
+            published = (entry.findtext(f"{ATOM}published") or "").strip()
+            if re.fullmatch(r"\d{4}\.\d{4,5}", re.sub(r"v\d+$", "", last)) and (not published or published.startswith(f"{year}-")):
+                seen.add(re.sub(r"v\d+$", "", last))
+        start, position = start + len(entries), position + 1
+
+
 def fetched(candidates: DataFrame, fetch: Callable[[str], tuple[bytes | None, bool, str | None]]) -> DataFrame:
     """``candidates`` (arxiv_id) with content, permanent and error by a given fetcher, which returns (bytes, permanent, error)."""
 
@@ -96,12 +158,11 @@ FEED = "entry array<struct<id:string,title:string,published:string,updated:strin
 
 def atom_entries(feeds: DataFrame, year: int) -> DataFrame:
     """``feeds`` (position, xml) -> entries of the year in feed order: arxiv_id, title, categories, update_date, created."""
-    squeeze = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     rows = feeds.select("position", F.posexplode(F.from_xml("xml", FEED)["entry"]).alias("k", "e"))
-    last = F.substring_index(F.regexp_replace(squeeze(F.col("e.id")), "/+$", ""), "/", -1)
+    last = F.substring_index(F.regexp_replace(collapsed(F.col("e.id")), "/+$", ""), "/", -1)
     terms = F.filter(F.col("e.category._term"), lambda t: t.isNotNull() & (t != ""))
     out = rows.select(
-        "position", "k", F.regexp_replace(last, r"v\d+$", "").alias("arxiv_id"), squeeze(F.col("e.title")).alias("title"),
-        F.array_join(terms, " ").alias("categories"), F.substring(squeeze(F.col("e.updated")), 1, 10).alias("update_date"), squeeze(F.col("e.published")).alias("created"),
+        "position", "k", F.regexp_replace(last, r"v\d+$", "").alias("arxiv_id"), collapsed(F.col("e.title")).alias("title"),
+        F.array_join(terms, " ").alias("categories"), F.substring(collapsed(F.col("e.updated")), 1, 10).alias("update_date"), collapsed(F.col("e.published")).alias("created"),
     )
     return out.where(F.col("arxiv_id").rlike(r"^\d{4}\.\d{4,5}(v\d+)?$") & ((F.col("created") == "") | F.col("created").startswith(f"{year}-")))
