@@ -4,9 +4,11 @@ A payload becomes an 8-bit grey image of ``WIDTH`` samples a row. Rows are filte
 difference or upward difference, whichever has the least sum of absolute values over the image)
 and compressed with zlib; chunks carry their CRC. Reading checks the signature, every chunk's CRC,
 the header, the size of the inflated data and the Adler checksum, then undoes any of the five
-filters with numpy. The feature is a low-frequency cosine-transform hash: the mean of the payload's
-24 x 24 tiles is transformed, and each of the 8 x 8 lowest coefficients gives a bit, set where it
-exceeds the median of all but the first.
+filters with numpy. The feature is a low-frequency cosine-transform hash: the whole image is shrunk to
+24 x 24 by the mean of each part's area, transformed, and each of the 8 x 8 lowest coefficients gives
+a bit, set where it exceeds the median of all but the first. Padding (the bytes 255 at the end, which no
+text holds) takes the mean of the rest first, or its edge would outweigh the text. So what stands where
+in a text counts, in proportion to its length.
 
 Defined results: null texts count as empty and are stored as one row of padding; equal texts give
 equal values; texts of any length are stored whole; repeated rows stay; an empty table gives an
@@ -140,10 +142,30 @@ def _cosines(n: int) -> np.ndarray:
 BASIS = _cosines(TILE)
 
 
+def shrunk(samples: np.ndarray, size: int = TILE) -> np.ndarray:
+    """The image as size x size means of equal areas; rows and columns that an edge cuts count in part."""
+    for _ in range(2):  # rows, then columns
+        n = len(samples)
+        sums = np.concatenate([np.zeros((1, samples.shape[1])), np.cumsum(samples, axis=0, dtype=np.float64)])
+        edges = np.arange(size + 1) * n / size
+        whole = np.minimum(edges.astype(np.int64), n - 1)
+        at = sums[whole] + (edges - whole)[:, None] * (sums[whole + 1] - sums[whole])
+        samples = (np.diff(at, axis=0) * size / n).T
+    return samples
+
+
+def levelled(samples: np.ndarray) -> np.ndarray:
+    """The image with the bytes 255 at its end replaced by the mean of the others."""
+    flat = samples.ravel()
+    size = len(flat) - int(np.argmax(flat[::-1] != 255)) if (flat != 255).any() else 0
+    if not size:
+        return samples.astype(np.float64)
+    return np.r_[flat[:size].astype(np.float64), np.full(len(flat) - size, flat[:size].mean())].reshape(samples.shape)
+
+
 def cosine_hash(samples: np.ndarray) -> bytes:
-    """Eight bytes: which low-frequency coefficients of the mean tile exceed their median."""
-    tile = samples.reshape(-1, TILE, TILE).mean(axis=0)
-    low = (BASIS @ tile @ BASIS.T).round(6).ravel()
+    """Eight bytes: which low-frequency coefficients of the levelled, shrunk image exceed their median."""
+    low = (BASIS @ shrunk(levelled(samples)) @ BASIS.T).round(6).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 

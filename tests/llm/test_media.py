@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -56,14 +57,38 @@ def test_damage_is_found():
             media.decode_png(bad)
 
 
+def area_means(samples, size):
+    """Means of equal areas, each pixel weighed by the part of it that lies in the area."""
+    share = lambda n: np.array([[max(0.0, min(i + 1, (k + 1) * n / size) - max(i, k * n / size)) for i in range(n)] for k in range(size)]) * size / n
+    rows, columns = share(samples.shape[0]), share(samples.shape[1])
+    return rows @ samples @ columns.T
+
+
 def test_cosine_hash_against_sums():
     rng = np.random.default_rng(1)
-    samples = rng.integers(0, 256, (2, 576), dtype=np.uint8)
-    tile = samples.reshape(2, 24, 24).mean(axis=0)
-    low = [[sum(tile[y, x] * np.cos(np.pi * u * (2 * y + 1) / 48) * np.cos(np.pi * v * (2 * x + 1) / 48) for y in range(24) for x in range(24)) for v in range(8)] for u in range(8)]
-    flat = np.array(low).ravel()
-    bits = "".join("1" if c > np.median(flat[1:]) else "0" for c in flat)
-    assert media.cosine_hash(samples).hex() == f"{int(bits, 2):016x}"
+    for height in (1, 2, 23, 24, 25, 61):
+        samples = rng.integers(0, 255, (height, 576), dtype=np.uint8)
+        assert np.allclose(media.shrunk(samples), area_means(samples.astype(float), 24))
+        samples.ravel()[-40:] = 255
+        level = samples.astype(float)
+        level.ravel()[-40:] = level.ravel()[:-40].mean()
+        tile = area_means(level, 24)
+        low = [[sum(tile[x, y] * np.cos(np.pi * u * (2 * x + 1) / 48) * np.cos(np.pi * v * (2 * y + 1) / 48) for x in range(24) for y in range(24)) for v in range(8)] for u in range(8)]
+        low = np.array(low).round(6).ravel()
+        bits = "".join("1" if c > np.median(low[1:]) else "0" for c in low)
+        assert media.cosine_hash(samples).hex() == f"{int(bits, 2):016x}"
+
+
+def test_features_tell_texts_apart_and_stay_near_for_small_edits():
+    """Unlike texts, as the given table holds near copies, whose features should be equal or near."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(400, 4000))) for _ in range(150)]
+    of = lambda t: int.from_bytes(media.cosine_hash(media.decode_png(media.encode_png(media.payload_of(t.encode())))))
+    prints = [of(t) for t in texts]
+    apart = [(a ^ b).bit_count() for a, b in zip(prints, prints[1:])]
+    edited = [(of(t[:1000] + "XY" + t[1002:]) ^ p).bit_count() for t, p in zip(texts, prints)]
+    print(len(set(prints)), np.mean(edited), np.mean(apart))
+    assert len(set(prints)) >= 0.95 * len(texts) and np.mean(edited) < 0.25 * np.mean(apart)
 
 
 def test_query_against_brute_force(spark):
