@@ -51,6 +51,14 @@ def test_query_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_very_long_texts_and_clashing_names(spark):
+    """Columns named as those of the result are ignored; a text of 300,000 words is read whole."""
+    long = " ".join(f"w{k % 977}x{k % 13}" for k in range(300_000))
+    rows = [(5, long), (3, long + " end"), (4, "short text"), (4, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("fingerprint", "component_id", "node", "label", "low", "n")})
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == brute(rows)
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (None, "q r s t u v w")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
