@@ -117,11 +117,17 @@ class WordTokens:
 _WORKER: dict[str, WordTokens] = {}
 
 
+def _worker(path: str) -> WordTokens:
+    if path not in _WORKER:
+        _WORKER[path] = WordTokens(path)
+    return _WORKER[path]
+
+
 def pieces(docs: DataFrame, path: str = TOKENIZER, size: int = SIZE) -> DataFrame:
     """``docs`` (doc_id, text) -> (doc_id, piece, start, length, ids_crc32), one row a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKER.setdefault(path, WordTokens(path))
+        words = _worker(path)
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, max(1, len(whole)), SLICE)):
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
