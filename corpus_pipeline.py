@@ -13,17 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import jaccard, language, packing, personal
-from pageloom.llm.common import ensure_checkpoint_dir
+from pageloom.llm.common import cut, ensure_checkpoint_dir, table
 
 #: Language models, a tagger and bin packing can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is of a learned language; rejected rows and rows without letters go."""
+    """Rows whose text is of a learned language; rejected rows and rows without letters go.
+
+    Columns of any names are kept as they are.
+    """
     model = language.train(language.training_rows(docs.where(~language.held_out())))
-    kept = language.identify(docs.select("*", F.lit(1).alias("_in")), model).where("not rejected")
-    return kept.select(*docs.columns)
+    names = ["text" if c == "text" else f"column_{k}" for k, c in enumerate(docs.columns)]
+    kept = language.identify(docs.toDF(*names), model).where("not rejected").select(*names)
+    return kept.toDF(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +39,20 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     least hash of text stays; a row without doc_id stays only if its group has no other.
     """
     key = F.struct(F.col("low").isNull().alias("none"), "low", "mark")
-    first = jaccard.groups(docs).groupBy("root").agg(F.min(key).alias("key")).select(F.col("key.low").alias("_low"), F.col("key.mark").alias("_mark"))
-    same = (jaccard.mark() == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_low"))
-    return docs.join(first, same).dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    first = jaccard.groups(docs).groupBy("root").agg(F.min(key).alias("key"))
+    # equal keys without nulls, so that rows are shuffled once to be joined and told from their copies
+    keys = ["_id", "_none", "_mark"]
+    first = first.select(F.coalesce("key.low", F.lit(0)).alias("_id"), F.col("key.none").alias("_none"), F.col("key.mark").alias("_mark"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_mark": jaccard.mark()})
+    return keyed.join(first, keys).dropDuplicates(keys).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data replaced by its kind in angle brackets and n_chars counted anew."""
-    return personal.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All rows, with personal data replaced by its kind in angle brackets; n_chars, where there is one, counted anew."""
+    clean = personal.redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,14 +69,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; what each returns is written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    """The stages in order; what each returns is written to the shared folder and read again.
+
+    The result is written too, and the stages' folder goes.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
-    return docs
+    result = cut(STAGES[-1][1](spark, docs, sf_dir))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result

@@ -13,7 +13,9 @@ HOT_ROWS, HOT_KEYS = 256, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over the cores if its files make fewer tasks than that; larger ones are left where they are."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

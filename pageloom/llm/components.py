@@ -2,7 +2,8 @@
 
 Each round shuffles only links (two longs a row) and aggregates minima before the shuffle; no
 node's neighbours are ever gathered in one place, and nothing but three numbers a round comes to
-the driver. The links of a hub are dealt over several tasks (``hot_join``).
+the driver. A table of so many links that a hub could overfill a task has the links of its hubs dealt
+over several tasks (``hot_join``); in smaller ones adaptive execution splits what it finds skewed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import cut, hot_join
 
 
+#: Links that one task takes well, whatever node they share.
+FEW = 4_000_000
+
+
 def _signature(links: DataFrame) -> tuple:
     row = links.agg(
         F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.sum(F.expr("xxhash64(a, b) % 1000003")).alias("s")
@@ -23,7 +28,7 @@ def _signature(links: DataFrame) -> tuple:
 def _to_minimum(pairs: DataFrame, total: int) -> DataFrame:
     """(u, v, m) for each of about ``total`` pairs, m being the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("m"), "n")
-    return hot_join(pairs, least, ["u"], total, spread=("v",))
+    return hot_join(pairs, least, ["u"], total, spread=("v",)) if total > FEW else pairs.join(least.drop("n"), "u")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Near copies by exact shingle similarity: MinHash bands, candidate groups, verified Jaccard links.
+"""Near copies by exact shingle similarity: SimHash blocks and MinHash bands give candidates, verified by Jaccard.
 
-Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. A
-64-bit SimHash can't find those by few blocks (at 0.8 about ten bits differ), so candidates come
-from MinHash: ``BANDS`` bands of ``ROWS`` minima, of which a pair of similarity s shares one in
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+Candidates come first from the SimHash operator: fingerprints over five words, cut into pigeonhole
+blocks, joined on blocks and within ``DISTANCE`` bits. At 0.8 about ten of 64 bits differ, and blocks
+that meet all such pairs would be too short, so the operator alone misses most pairs near 0.8. MinHash
+completes it: ``BANDS`` bands of ``ROWS`` minima, of which a pair of similarity s shares one in
 1 - (1 - s**ROWS)**BANDS of cases: 0.9999 at 0.8, more above. Each band key's texts are tied to the
-least of them, and groups that hang together by such ties are candidates as a whole: all their pairs
-are compared, and only links of sufficient similarity are kept.
+least of them, and groups that hang together by such ties and by SimHash's links are candidates as a
+whole: all their pairs are compared, and only links of sufficient similarity are kept.
 
 Equal texts are merged first (a hot group of copies is one row). A text is shipped only if it has a
 candidate, once for each pair of parts that its group is cut into; a group of at most ``VOLUME``
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cut
+from pageloom.llm.common import cut, hot_join
 from pageloom.llm.components import connected_components
-from pageloom.llm.simhash import shingle_hashes
+from pageloom.llm.simhash import close_links, majority, shingle_hashes
 
-WORDS, SIMILARITY = 5, 0.8
+WORDS, SIMILARITY, DISTANCE = 5, 0.8, 4
 ROWS, BANDS = 6, 30
 #: Shingles of a part of a candidate group; a task holds two parts.
 VOLUME = 2_000_000
@@ -83,21 +85,43 @@ def links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[
 
 
 def _distinct_texts(docs: DataFrame) -> DataFrame:
-    """(mark, size, bands, low: the least doc_id) of every distinct text."""
+    """(mark, size, fp: the SimHash fingerprint, bands, low: the least doc_id) of every distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, prints = [], [], []
             for text in batch.column(2):
-                found = shingles(text.as_py())
+                every = shingle_hashes(text.as_py(), WORDS)
+                prints.append(majority(every))
+                found = np.unique(every)
                 sizes.append(len(found))
                 keys.append(band_keys(found).view(np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), bands], ["doc_id", "mark", "size", "bands"])
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), fp, bands], ["doc_id", "mark", "size", "fp", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, size long, bands array<long>").groupBy("mark", "size", "bands").agg(F.min("doc_id").alias("low"))
+    found = rows.mapInArrow(run, "doc_id long, mark long, size long, fp long, bands array<long>")
+    return found.groupBy("mark", "size", "fp", "bands").agg(F.min("doc_id").alias("low"))
+
+
+def _simhash_ties(texts: DataFrame) -> DataFrame:
+    """(u, v): marks of texts whose fingerprints are at most DISTANCE bits apart, tied to the least mark of their fingerprint."""
+    prints = cut(texts.groupBy("fp").agg(F.min("mark").alias("least"), F.count("*").alias("n")))
+    equal = hot_join(texts.select("fp", "mark"), prints.where("n > 1"), ["fp"], texts.count(), spread=("mark",)).where("mark <> least")
+    least = prints.select("fp", "least")
+    close = close_links(least.select("fp"), prints.count(), DISTANCE)
+    close = close.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v")
+    return equal.select(F.col("mark").alias("u"), F.col("least").alias("v")).unionByName(close.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _band_ties(texts: DataFrame) -> DataFrame:
+    """(u, v): marks of texts that share a band key, tied to the least of them."""
+    keys = texts.select("mark", F.explode("bands").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("mark").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    ties = hot_join(keys, shared, ["key"], BANDS * texts.count(), spread=("mark",)).where("mark <> least")
+    return ties.select(F.col("mark").alias("u"), F.col("least").alias("v"))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +152,11 @@ def groups(docs: DataFrame) -> DataFrame:
     over links of similarity ``SIMILARITY`` or more.
     """
     texts = cut(_distinct_texts(docs))
-    keys = texts.select("mark", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("mark").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = keys.join(shared, "key").where("mark <> least").select(F.col("mark").alias("u"), F.col("least").alias("v"))
+    ties = _band_ties(texts).unionByName(_simhash_ties(texts))
     near = connected_components(ties).withColumnRenamed("node", "mark")
     near = cut(texts.select("mark", "low", "size").join(near, "mark"))
-    parts = near.groupBy("root").agg(F.ceil(F.greatest(F.sum("size"), F.lit(1)) / VOLUME).cast("int").alias("parts"))
-    near = near.join(parts, "root").select("root", "parts", "low", F.col("mark").alias("hash"))
+    parts = cut(near.groupBy("root").agg(F.ceil(F.greatest(F.sum("size"), F.lit(1)) / VOLUME).cast("int").alias("parts"), F.count("*").alias("n")))
+    near = hot_join(near, parts, ["root"], near.count(), spread=("mark",)).select("root", "parts", "low", F.col("mark").alias("hash"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"), "text")
     rows = rows.join(near, (F.col("mark") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("low")))
     part = F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int")

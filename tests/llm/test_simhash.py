@@ -3,7 +3,7 @@ import pyspark.sql.functions as F
 import pytest
 import xxhash
 
-from pageloom.llm import simhash
+from pageloom.llm import components, simhash
 from pageloom.llm.components import connected_components
 
 
@@ -104,10 +104,12 @@ def test_close_pairs_share_a_block():
             assert any(not diff & m for m in masks)
 
 
-def test_components_of_a_path_and_a_hub(spark):
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components_of_a_path_and_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)  # 0: hubs are dealt out
     path = [(i, i + 1) for i in range(60)]
-    hub = [(1000, 1001 + i) for i in range(200)]
+    hub = [(1000, 1001 + i) for i in range(900)]
     frame = spark.createDataFrame([*path, *hub, (5, 5), (None, 3), (3, 2)], "u long, v long")
     got = {r.node: r.root for r in connected_components(frame).collect()}
-    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1201), 1000)}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1901), 1000)}
     assert connected_components(frame.limit(0)).collect() == []
