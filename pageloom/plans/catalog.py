@@ -260,9 +260,9 @@ def id_year(spark, sf):
     return _ids(spark, sf).select("line", T.id_year(F.col("arxiv_id")).alias("year"))
 
 
-@registered(f"{_M} SELECT line, coalesce({_YEAR}, CAST(nullif(regexp_extract(update_date, '\\b(?:19|20)[0-9]{{2}}\\b', 0), '') AS INTEGER), CAST(nullif(regexp_extract(created, '\\b(?:19|20)[0-9]{{2}}\\b', 0), '') AS INTEGER)) AS year FROM ids")
+@registered(f"{_M} SELECT line, coalesce({_YEAR}, CASE WHEN line % 2 = 1 AND line % 7 = 3 THEN 1987 END, CASE WHEN line % 11 = 4 THEN 2003 END, CAST(nullif(regexp_extract(update_date, '\\b(?:19|20)[0-9]{{2}}\\b', 0), '') AS INTEGER), CAST(nullif(regexp_extract(created, '\\b(?:19|20)[0-9]{{2}}\\b', 0), '') AS INTEGER)) AS year FROM ids")
 def record_year(spark, sf):
-    return _ids(spark, sf).select("line", T.record_year(F.col("arxiv_id"), [], [F.col("update_date")], F.col("versions")).alias("year"))
+    return _ids(spark, sf).select("line", T.record_year(F.col("arxiv_id"), [F.when(F.col("line") % 2 == 0, "n/a").when(F.col("line") % 7 == 3, "1987"), F.when(F.col("line") % 11 == 4, F.lit(2003))], [F.col("update_date")], F.col("versions")).alias("year"))
 
 
 @registered(f"{_M} SELECT line, CAST(coalesce(nullif(regexp_extract(created, '\\b(?:19|20)[0-9]{{2}}\\b', 0), ''), CASE WHEN regexp_matches(update_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN update_date[1:4] END) AS INTEGER) AS year FROM manifest")
@@ -562,3 +562,14 @@ def item_lineage(spark, sf):
     rows = X.blocks(spark, sf).withColumns({"raw_type": kind, "list_type": F.when(kind == "list", "reference_list"), "reference_items": refs, "block": F.concat(F.lit('{"k":'), F.col("page_idx").cast("string"), F.lit("}"))})
     items = merge.items_v3(layout.reading_order(rows))
     return items.select("doc_id", "global_order", "raw_type", "list_type", F.array_join("reference_items", ",").alias("refs"), "block")
+
+
+@registered(f"SELECT conv_id, turn, trim(CASE turn % 3 WHEN 0 THEN {_STRIP} || ' x^2 ' || role WHEN 1 THEN role ELSE 'cap ' || {_STRIP} END) AS text FROM conversations")
+def nested_text(spark, sf):
+    """Other shapes of content than lists: runs of inline pieces, a bare string, and captions beside a body without text."""
+    piece = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("content"))
+    c, whole = X.table(spark, sf, "conversations"), lambda kind, body: F.to_json(F.struct(F.lit(kind).alias("type"), body.alias("content")))
+    inline = F.struct(F.array(piece("text", F.col("text")), piece("equation_inline", F.lit(" x^2 ")), piece("text", F.concat(F.lit(" "), F.col("role")))).alias("paragraph_content"))
+    captions = F.struct(F.array(piece("text", F.lit("cap")), piece("text", F.col("text"))).alias("table_caption"), F.lit("<td>no</td>").alias("html"))
+    block = F.when(F.col("turn") % 3 == 0, whole("paragraph", inline)).when(F.col("turn") % 3 == 1, whole("title", F.col("role"))).otherwise(whole("table", captions))
+    return c.select("conv_id", "turn", nested.extract_text(block).alias("text"))

@@ -80,7 +80,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def ready_sources(spark: SparkSession, path: str) -> int:
     """Folders under ``path`` that hold a .tex file at any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tex").load(path)
-    root = F.lit(path.rstrip("/") + "/")
+    root = path.rstrip("/") + "/"
     return files.select(F.substring_index(F.substring_index("path", root, -1), "/", 1).alias("folder")).distinct().count()
 
 

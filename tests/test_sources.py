@@ -128,6 +128,18 @@ def test_ids_of_files(spark, tmp_path):
     assert L.read_ids(spark, paths[2]).collect() == []
 
 
+def test_ready_sources_and_appended_lines(spark, tmp_path):
+    for name in ("pool/a/main.tex", "pool/b/x/y/part.tex", "pool/b/z.tex", "pool/c/notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert archives.ready_sources(spark, str(tmp_path / "pool")) == 2
+    log = str(tmp_path / "log")
+    for rows in ([("z", 1)], [("a", 2), ("b", 3)]):
+        L.append_jsonl(spark.createDataFrame(rows, "status string, line int"), log)
+    assert sorted(r.line for r in spark.read.json(log).collect()) == [1, 2, 3]
+    assert all(list(json.loads(x)) == ["line", "status"] for f in (tmp_path / "log").glob("part-*") for x in f.read_text().splitlines())
+
+
 def test_workspace(spark, tmp_path):
     space = workspace.Workspace(str(tmp_path / "data"))
     space.ensure(spark)
