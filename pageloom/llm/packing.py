@@ -15,8 +15,10 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,81 +40,115 @@ SLICE = 1024
 #: About so many pieces share a group in which ranks are counted.
 GROUP = 512
 
-#: A text with one of these is split at blanks alone: an apostrophe starts a token of its own
-#: kind, "<" may start a special token, and characters beyond U+024F may combine or be blanks.
-_HARD = re.compile("['<\x1c-\x1f\x85\xa0]|[^\x00-ɏ]")
+#: Letters and numbers up to U+024F, but for U+0130, which ends in a combining dot when lower-cased.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1)
+_NUMBERS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
+#: A text of these alone is lower-cased and split as it is: none combines, and its blanks are a space, tab and line
+#: ends. It must not hold OPEN, which starts special tokens.
+_PLAIN = re.compile("[\x00-\x0a\x0d-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]*")
+#: The model's pieces of a plain word.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+OPEN = "<|"
+#: A sign right before a full stop or comma, which then may end a longer piece.
+_SIGNS = re.compile(f"[^{_LETTERS}{_NUMBERS}\\s][.,]")
 
 
-class WordTokens:
+class WordTokens(dict):
     """Ids of texts as little-endian 32-bit words, by a word-level BPE that drops white space.
 
-    No token crosses a blank, so ids of words are kept and joined; a trailing "." or "," after a
-    letter is a token of its own and is kept apart. A word of letters up to U+024F is one piece of
-    the model and goes to it directly, its bytes written as the model's characters; other unknown
-    words of a batch are tokenized together in lines, with a mark between words whose one id shows
-    where each ends. At most about ``most`` short words are kept; words over LONG characters are
-    tokenized anew.
+    No token crosses a blank, so ids of words are kept and joined; texts are taken in blocks of about
+    CHARS characters, whose words are looked up once each. An unknown plain word is cut into the
+    pieces of the tokenizer's pattern, and each piece goes to the model directly, its bytes written as
+    the model's characters. Unknown other words of a block are tokenized together in lines, with a mark
+    between words whose one id shows where each ends. At most about ``most`` short words are kept: when
+    half as many are, they become the old ones, of which those that come up again are kept on. Words
+    over LONG characters are tokenized anew.
     """
 
-    MARK, LONG, LINE = "~", 64, 512
+    MARK, LONG, LINE, STEP, CHARS = "~", 64, 512, 1 << 14, 1 << 20
 
     def __init__(self, path: str, most: int = 300_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.mark = self._ids(self.MARK)
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.model, self.mark = self.tokenizer.model, self._ids(self.MARK)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100
         hidden = [b for b in range(256) if b not in shown]
         name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.letters = {c: "".join(name[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+        self.written = {c: "".join(name[b] for b in chr(c).encode()) for c in range(0x250)}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _encode(self, words: list[str]) -> None:
-        """Learn words without MARK; none is blank."""
-        for at in range(0, len(words), self.LINE):
-            some = words[at : at + self.LINE]
-            ids = self._ids(f" {self.MARK} ".join(some))
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            low = word.lower()
+            if low.isalpha() and _PLAIN.fullmatch(low):
+                ids = self._piece(low if low.isascii() else low.translate(self.written))
+            elif not _PLAIN.fullmatch(low) or OPEN in low:
+                ids = self._ids(word).tobytes()
+            else:
+                pieces = _PIECE.findall(low)
+                ids = b"".join([self[p] for p in pieces]) if len(pieces) > 1 else self._piece(low.translate(self.written))
+        if len(word) <= self.LONG:
+            self[word] = ids
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that aren't plain, many at once."""
+        some = [w for w in words if w not in self and w not in self.old and len(w) <= self.LONG and self.MARK not in w and not _PLAIN.fullmatch(w.lower())]
+        for at in range(0, len(some), self.LINE):
+            line = some[at : at + self.LINE]
+            ids = self._ids(f" {self.MARK} ".join(line))
             cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
             raw = ids.tobytes()
-            self.known.update((w, raw[4 * (i + 1) : 4 * j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False))
-
-    def _learn(self, words: set[str]) -> None:
-        known, plain, ended = self.known, set(), []
-        for w in words:
-            if len(w) > self.LONG or self.MARK in w:
-                known[w] = self._ids(w).tobytes()
-            elif w[-1:] in (".", ",") and w[-2:-1].isalpha() and w[-2] < "\x80" and "'" not in w and "<" not in w:
-                ended.append(w)
-                plain.update((w[:-1], w[-1]))
-            else:
-                plain.add(w)
-        plain.discard("")
-        rest, tokens, letters = [], self.tokenizer.model.tokenize, self.letters
-        for w in plain:
-            if w not in known:
-                low = w.lower()
-                if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
-                    known[w] = array("I", [t.id for t in tokens(low.translate(letters))]).tobytes()
-                else:
-                    rest.append(w)
-        self._encode(rest)
-        known[""] = b""
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
+            self.update((w, raw[4 * (i + 1) : 4 * j]) for w, i, j in zip(line, cuts, cuts[1:], strict=False))
+
+    def _block(self, texts: list[str], plain: bool) -> Iterator[bytes]:
+        """Ids of texts whose words are looked up once each."""
+        lines = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = lines.flatten().dictionary_encode()
+        each = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if not plain:
+            self._learn(each)
+        ids = []
+        for at in range(0, len(each), self.STEP):
+            ids += [self[w] for w in each[at : at + self.STEP]]
+            if len(self) > self.most // 2:
+                self.old = dict(self)
+                self.clear()
+        sizes = np.fromiter(map(len, ids), "i4", len(ids)) // 4
+        rows = words.indices.to_numpy()
+        each = sizes[rows]
+        ends = np.cumsum(each, dtype="i4")
+        first = (np.cumsum(sizes, dtype="i4") - sizes)[rows] - (ends - each)  # a word's place less that of its use
+        at = np.repeat(first, each)
+        at += np.arange(len(at), dtype="i4")
+        raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cuts = np.concatenate([[0], ends])[lines.offsets.to_numpy()].tolist()
+        yield from (raw[4 * i : 4 * j] for i, j in itertools.pairwise(cuts))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            lines = [(t if _HARD.search(t) else t.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at : at + 256]]
-            new = set().union(*lines).difference(self.known)
-            if len(self.known) > self.most:
-                self.known.clear()
-                new = set().union(*lines)
-            self._learn(new)
-            yield from [b"".join([self.known[w] for w in line]) for line in lines]
-            for w in [w for w in new if len(w) > self.LONG]:
-                del self.known[w]
+        block, chars, plain = [], 0, True
+        for t in texts:
+            if _PLAIN.fullmatch(t) and OPEN not in t:
+                t = t.lower()
+                if not _SIGNS.search(t):
+                    t = t.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
+            else:
+                plain = False
+            block.append(t)
+            chars += len(t)
+            if chars > self.CHARS:
+                yield from self._block(block, plain)
+                block, chars, plain = [], 0, True
+        yield from self._block(block, plain)
 
 
 _WORKER: dict[str, WordTokens] = {}

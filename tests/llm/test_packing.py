@@ -71,6 +71,33 @@ def test_word_cache_equals_the_tokenizer():
         assert got == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_plain_character_beside_others_equals_the_tokenizer():
+    words, t = packing.WordTokens(packing.TOKENIZER, most=500), Tokenizer.from_file(packing.TOKENIZER)
+    texts = [x for c in map(chr, range(0x260)) for x in (f"a{c}b 1{c}2 .{c}. {c}{c}", f"A{c}. {c}, 'S{c}'s.\n{c}, x{c}{c}.", f"{c}. <|{c}")]
+    for text, ids in zip(texts, words.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_plain_words_need_the_model_alone_and_common_ones_stay_known():
+    words, whole, models = packing.WordTokens(packing.TOKENIZER, most=400), [], []
+    ids, model = words._ids, words.tokenizer.model
+
+    class Counting:
+        def tokenize(self, piece):
+            models.append(piece)
+            return model.tokenize(piece)
+
+    words._ids, words.model = lambda text: whole.append(text) or ids(text), Counting()
+    rng = np.random.default_rng(3)
+    rare = ["".join(chr(97 + k) for k in rng.integers(0, 26, 9)) for _ in range(2000)]
+    texts = [f"Common words&&& don't, (go) 12.5% élan.\n{' '.join(rare[at : at + 100])}." for at in range(0, 2000, 100)]
+    for text in texts:
+        list(words.ids([text]))
+    assert whole == []
+    assert Counter(models)["common"] == 1 and Counter(models)["élan".translate(words.written)] == 1
+    assert len(words) + len(words.old) <= 2 * 400
+
+
 def check(rows, texts, size):
     t = Tokenizer.from_file(packing.TOKENIZER)
     want = Counter()
