@@ -388,7 +388,7 @@ def safe_id(spark, sf):
 
 def _styled(spark, sf):
     name, text = style.font_name(F.col("raw_font")), F.col("text")
-    raw = X.raw_spans(spark, sf)
+    raw = X.raw_spans(X.documents(spark, sf))
     return raw.select(
         "doc_id", "pos", "text", name.alias("font_name"), style.size_bucket(F.col("size")).alias("font_size"), style.is_bold(F.col("flags"), name).alias("is_bold"),
         style.is_italic(F.col("flags"), name).alias("is_italic"), style.is_math(name, text).alias("is_inline_math"), style.is_code(name).alias("is_inline_code"),
@@ -447,7 +447,7 @@ def span_merge(spark, sf):
 def span_join(spark, sf):
     from pyspark.sql import Window
 
-    rows = X.raw_spans(spark, sf).withColumn("b", F.lead("text").over(Window.partitionBy("doc_id").orderBy("pos"))).where("b is not null")
+    rows = X.raw_spans(X.documents(spark, sf)).withColumn("b", F.lead("text").over(Window.partitionBy("doc_id").orderBy("pos"))).where("b is not null")
     return rows.select("doc_id", "pos", style.join_spans(F.col("text"), F.col("b")).alias("joined"))
 
 
@@ -492,10 +492,10 @@ def styled_items(spark, sf):
     FROM seen GROUP BY doc_id, pos"""
 )
 def char_gap_text(spark, sf):
-    raw = X.raw_spans(spark, sf)
+    raw = X.raw_spans(X.texts(spark, sf))
     x0 = lambda i: i * 6.0 + F.when((i + F.col("pos")) % 5 == 0, 3.0).otherwise(0.0)
     chars = F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("c"), x0(i).alias("x0"), (i * 6.0 + 5.5).alias("x1")))
-    return raw.select("doc_id", "pos", style.span_text(chars, F.col("size"), F.col("text")).alias("text"))
+    return raw.withColumn("chars", chars).select("doc_id", "pos", style.span_text(F.col("chars"), F.col("size"), F.col("text")).alias("text"))
 
 
 # ---- id sets

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Literal documents that reach branches the derived blocks don't: (doc, page, index, type, text, x0, y0, x1, y1).
@@ -24,6 +24,9 @@ LITERAL = (
     (-4, 0, 6, "list", "• six.", 120, 300, 480, 320), (-4, 0, 7, "table", "", 120, 340, 480, 360), (-4, 0, 8, "paragraph", "- seven.", 120, 380, 480, 400),
 )
 COLUMNS = "doc_id long, page_idx int, original_index int, type string, text string, x0 double, y0 double, x1 double, y1 double"
+BLOCK = "page_idx:int,original_index:int,type:string,text:string,x0:double,y0:double,x1:double,y1:double"
+#: Bytes of text of a task where documents are partitioned, and what a line counts for besides its bytes.
+TASK_BYTES, LINE_BYTES = 8 << 20, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,21 +39,37 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
 
 
+def by_document(docs: DataFrame, size: Column) -> DataFrame:
+    """Documents partitioned by doc_id, in so many parts that a task has about TASK_BYTES, and in as many as there are cores at least.
+
+    What is taken from a document later stays in its partition, so lines or words needn't be shuffled,
+    and the memory of a task doesn't grow with the table. The sizes are summed for that in a pass.
+    """
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES)), "doc_id")
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout blocks: a row for each line of ``documents``, and the literal documents; partitioned by document once."""
-    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    """Layout blocks: a row for each line of ``documents``, and the literal documents; partitioned by document once, as whole documents."""
+    literal: dict[int, list] = {}
+    for r in LITERAL:
+        literal.setdefault(r[0], []).append((*r[1:5], *map(float, r[5:])))
+    made = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast(f"array<struct<{BLOCK}>>").alias("given"))
+    given = spark.createDataFrame([(k, None, v) for k, v in literal.items()], f"doc_id long, text string, given array<struct<{BLOCK}>>")
+    size = F.coalesce(F.octet_length("text") + LINE_BYTES * (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))), F.lit(0))
+    docs = by_document(made.unionByName(given), size.cast("long"))
+    lines = docs.select("doc_id", "given", F.posexplode(F.coalesce("given.text", F.split("text", "\n"))).alias("pos", "t"))
     h, bare = (F.col("doc_id") * 7919 + F.col("pos") * 10427) % 1000, F.expr("trim(trailing '.!?' from t)")
     slot, ten, seven = F.col("pos") % 12, h % 10, h % 7
     kind = F.when(ten == 0, "title").when(ten == 1, "table").when(ten == 2, "list").when(ten == 3, "page_number").otherwise("paragraph")
     text = F.when(ten == 1, "").when(seven == 0, F.concat(F.lit("1. "), "t")).when(seven == 1, F.concat(bare, F.lit("-"))).when(seven.isin(2, 3), bare).when(seven == 4, F.concat(bare, F.lit(":"))).otherwise(F.col("t"))
     y0 = 60 + F.expr("pos % 12 div 2") * 140 + h % 9
-    made = lines.select(
-        "doc_id", F.expr("pos div 12").cast("int").alias("page_idx"), slot.cast("int").alias("original_index"), kind.alias("type"), F.trim(text).alias("text"),
-        F.when(ten == 0, 120).when(slot % 2 == 0, 80).otherwise(520).cast("double").alias("x0"), y0.cast("double").alias("y0"),
-        F.when(ten == 0, 880).when(slot % 2 == 0, 480).otherwise(920).cast("double").alias("x1"), (y0 - h % 9 + 120).cast("double").alias("y1"),
-    )
-    literal = spark.createDataFrame([(*r[:5], *map(float, r[5:])) for r in LITERAL], COLUMNS)
-    return made.unionByName(literal).repartition("doc_id")
+    fields = {
+        "page_idx": F.expr("pos div 12").cast("int"), "original_index": slot.cast("int"), "type": kind, "text": F.trim(text),
+        "x0": F.when(ten == 0, 120).when(slot % 2 == 0, 80).otherwise(520).cast("double"), "y0": y0.cast("double"),
+        "x1": F.when(ten == 0, 880).when(slot % 2 == 0, 480).otherwise(920).cast("double"), "y1": (y0 - h % 9 + 120).cast("double"),
+    }
+    return lines.select("doc_id", *[F.when(F.col("given").isNotNull(), F.get("given", F.col("pos"))[c]).otherwise(v).alias(c) for c, v in fields.items()])
 
 
 BLOCKS_SQL = f"""
@@ -90,9 +109,14 @@ ids AS (
 FONTS = ("times", "times-bold", "cmmi10", "courier", "ABCDEF+NimbusRomNo9L-Regu", "symbolmt")
 
 
-def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of ``documents``, partitioned by document."""
+    return by_document(table(spark, sf_dir, "documents").select("doc_id", "text"), F.octet_length("text").cast("long"))
+
+
+def raw_spans(docs: DataFrame) -> DataFrame:
     """Raw spans: words of the documents in order, with font, size and flags by an integer hash."""
-    words = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where("text <> ''")
+    words = docs.select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where("text <> ''")
     h = (F.col("doc_id") * 31 + F.expr("pos div 3") * 17) % 97
     return words.select("doc_id", F.col("pos").cast("long").alias("pos"), "text", F.get(F.array(*map(F.lit, FONTS)), (h % 6).cast("int")).alias("raw_font"), (8.25 + (h % 7) * 0.25).alias("size"), ((h * 3) % 32).cast("int").alias("flags"))
 

@@ -27,3 +27,14 @@ def test_documents_partition_once(spark):
     frame = merge.merge_groups(layout.reading_order(fixtures.blocks(spark, SF)))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_parts_grow_with_the_text(spark, tmp_path):
+    """A task of the layout chain has a bounded part of the documents, so more text makes more tasks."""
+    from pageloom.plans import fixtures
+
+    spark.range(200).selectExpr("id as doc_id", r"repeat('a line of words of some length.\n', 6000) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = fixtures.blocks(spark, str(tmp_path))
+    rows = frame.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
+    assert sum(rows) == 200 * 6001 + len(fixtures.LITERAL)
+    assert len(rows) >= 200 * 6000 * 32 // fixtures.TASK_BYTES
