@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from pageloom.functions.text import strip
+from pageloom.operators import spans
 
 #: Parts of font names by style, and characters of formulas.
 BOLD = ("bold", "bd", "blk", "black", "heavy", "demi", "medi")
@@ -78,45 +82,72 @@ def join_spans(left: Column, right: Column) -> Column:
 
 
 def span_text(chars: Column, size: Column, text: Column) -> Column:
-    """Text of characters array<struct<c, x0, x1>> with a blank at each wide gap; ``text`` where there are none."""
+    """Text of characters array<struct<c, x0, x1>> with a blank at each wide gap; ``text`` where there are none.
+
+    A character without x1 ends where the one before it does.
+    """
     gap = F.greatest(F.lit(1.0), F.coalesce(size, F.lit(0.0)) * 0.22)
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("double").alias("x1"), F.lit("").alias("last"))
+    return _spaced_text(chars, gap, text)
 
-    def step(s: Column, ch: Column) -> Column:
-        wide = (s["out"] != "") & (ch["x0"] - s["x1"] > gap) & ~_in(s["last"], " " + OPENERS) & ~_in(ch["c"], " " + CLOSERS)
-        out = F.concat(s["out"], F.when(F.coalesce(wide, F.lit(False)), F.lit(" ")).otherwise(F.lit("")), ch["c"])
-        return F.struct(out.alias("out"), F.coalesce(ch["x1"], s["x1"]).alias("x1"), ch["c"].alias("last"))
 
-    known = F.filter(chars, lambda ch: F.coalesce(ch["c"], F.lit("")) != "")
-    return F.when(F.coalesce(F.size(chars), F.lit(0)) > 0, F.aggregate(known, start, step)["out"]).otherwise(F.coalesce(text, F.lit("")))
+@F.arrow_udf(StringType())
+def _spaced_text(chars: pa.Array, gap: pa.Array, text: pa.Array) -> pa.Array:
+    return spans.spaced_text(chars, gap, text, [" ", *CLOSERS], [" ", *OPENERS])
 
 
-def numbered_spans(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+def numbered_spans(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Spans with the number of the run of equal style that they belong to."""
     by = Window.partitionBy(*keys).orderBy(order)
     style = F.struct(*KEY)
-    rows = spans.withColumn("_new", (~F.coalesce(F.lag(style).over(by).eqNullSafe(style), F.lit(False))).cast("int"))
+    rows = rows.withColumn("_new", (~F.coalesce(F.lag(style).over(by).eqNullSafe(style), F.lit(False))).cast("int"))
     return rows.withColumn("span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
-def span_sizes(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+def span_sizes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, span, font_size, char_count) of the spans that ``merge_spans`` makes, without gathering their text."""
-    return numbered_spans(spans, keys, order).groupBy(*keys, "span", "font_size").agg(F.sum(F.length("text")).alias("char_count"))
+    return numbered_spans(rows, keys, order).groupBy(*keys, "span", "font_size").agg(F.sum(F.length("text")).alias("char_count"))
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Numbered spans, the rows of a key one after the other in one partition: the numbering's windows have put them so."""
+    return numbered_spans(rows, keys, order).sortWithinPartitions(*keys, order).select(*keys, "span", "text", *KEY)
+
+
+def _fields(rows: DataFrame, names: list[str]) -> list[StructField]:
+    return [StructField(f.name, f.dataType) for f in (rows.schema[c] for c in names)]
 
 
-def merge_spans(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+def merge_spans(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adjacent spans of equal style as one: (keys, span, text, style fields, char_count)."""
-    grouped = numbered_spans(spans, keys, order).groupBy(*keys, "span", *KEY).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_parts"), F.sum(F.length("text")).alias("char_count"))
-    first = F.get("_parts", F.lit(0))["text"]
-    rest = F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0)))
-    return grouped.select(*keys, "span", F.aggregate(rest, first, lambda s, p: join_spans(s, p["text"])).alias("text"), *KEY, "char_count")
+    placed = _in_order(rows, keys, order)
+    made = StructType([*_fields(placed, [*keys, "span", "text", *KEY]), StructField("char_count", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in spans.whole(batches, [*keys, "span"]):
+            yield pa.RecordBatch.from_pydict(spans.merged(t, keys, list(KEY), spans.Signs(CLOSERS, OPENERS, WORD_OPENERS)))
+
+    return placed.mapInArrow(run, made)
+
+
+def nested_spans(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, style_spans, style_baseline_size) of the spans that ``merge_spans`` makes and ``baseline_size`` weighs, in one pass over the spans of a key."""
+    placed = _in_order(rows, keys, order)
+    span = StructType([*_fields(placed, ["text", *KEY]), StructField("char_count", LongType())])
+    made = StructType([*_fields(placed, keys), StructField("style_spans", ArrayType(span)), StructField("style_baseline_size", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in spans.whole(batches, keys):
+            merged = spans.merged(t, keys, list(KEY), spans.Signs(CLOSERS, OPENERS, WORD_OPENERS))
+            yield pa.RecordBatch.from_pydict(spans.nested(merged, keys, list(SPAN_FIELDS)))
+
+    return placed.mapInArrow(run, made)
 
 
-def baseline_size(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+def baseline_size(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The font size of most characters (at least one a span), the first seen on ties."""
-    length = [F.length("text")] if "text" in spans.columns else []  # span_sizes has none: its counts are lengths
+    length = [F.length("text")] if "text" in rows.columns else []  # span_sizes has none: its counts are lengths
     weight = F.greatest(F.lit(1), F.coalesce(F.nullif(F.col("char_count"), F.lit(0)), *length, F.lit(0)))
-    sizes = spans.where("font_size is not null").groupBy(*keys, "font_size").agg(F.sum(weight).alias("n"), F.min(order).alias("first"))
+    sizes = rows.where("font_size is not null").groupBy(*keys, "font_size").agg(F.sum(weight).alias("n"), F.min(order).alias("first"))
     return sizes.groupBy(*keys).agg(F.max_by("font_size", F.struct("n", -F.col("first"))).alias("baseline_size"))
 
 
@@ -142,8 +173,8 @@ SPAN_FIELDS = ("text", *KEY, "char_count")
 def classified(raw: DataFrame, cfg: StyleConfig = StyleConfig()) -> DataFrame:
     """Raw spans (doc_id, global_order, chunk, pos, text, font_name, size, flags, chars) with their text rebuilt and their style; blank ones go."""
     size = F.coalesce(F.col("size"), F.lit(0.0))
-    chars = F.col("chars") if "chars" in raw.columns else F.lit(None).cast("array<struct<c:string,x0:double,x1:double>>")
-    rows = raw.select("doc_id", "global_order", (F.col("chunk").cast("long") * (1 << 32) + F.col("pos")).alias("at"), span_text(chars, size, F.col("text")).alias("text"), font_name(F.col("font_name")).alias("font_name"), size.alias("size"), F.coalesce("flags", F.lit(0)).alias("flags"))
+    said = span_text(F.col("chars"), size, F.col("text")) if "chars" in raw.columns else F.coalesce("text", F.lit(""))
+    rows = raw.select("doc_id", "global_order", (F.col("chunk").cast("long") * (1 << 32) + F.col("pos")).alias("at"), said.alias("text"), font_name(F.col("font_name")).alias("font_name"), size.alias("size"), F.coalesce("flags", F.lit(0)).alias("flags"))
     name, flags, text = F.col("font_name"), F.col("flags"), F.col("text")
     return rows.where(strip(text) != "").select(
         "doc_id", "global_order", "at", "text", "font_name", size_bucket(F.col("size"), cfg.size_step).alias("font_size"), is_bold(flags, name).alias("is_bold"),
@@ -158,10 +189,7 @@ def styled_items(items: DataFrame, raw: DataFrame, cfg: StyleConfig = StyleConfi
     item are gathered.
     """
     keys = ["doc_id", "global_order"]
-    merged = merge_spans(classified(raw, cfg), keys, "at")
-    spans = F.sort_array(F.collect_list(F.struct("span", *SPAN_FIELDS)))
-    nested = merged.groupBy(*keys).agg(F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in SPAN_FIELDS])).alias("style_spans"))
-    found = nested.join(baseline_size(merged, keys, "span").withColumnRenamed("baseline_size", "style_baseline_size"), keys, "left")
+    found = nested_spans(classified(raw, cfg), keys, "at")
     joined = items.join(found, keys, "left")
     none = F.array().cast(found.schema["style_spans"].dataType)
     rows = joined.withColumn("style_spans", F.coalesce("style_spans", none)).withColumn("style_span_count", F.size("style_spans"))

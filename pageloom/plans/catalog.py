@@ -475,10 +475,14 @@ def baseline_size(spark, sf):
     FROM items LEFT JOIN nested USING (doc_id, global_order) LEFT JOIN base USING (doc_id, global_order)"""
 )
 def styled_items(spark, sf):
-    raw = X.raw_spans(spark, sf).withColumn("global_order", F.expr("pos div 40").cast("int"))
-    last = raw.agg(F.max("global_order")).first()[0]
-    listed = X.table(spark, sf, "documents").where("doc_id % 10 = 3").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("global_order"))
-    items = listed.unionByName(raw.where("doc_id % 10 <> 3").select("doc_id", "global_order").distinct())
+    docs = X.documents(spark, sf)
+    raw = X.raw_spans(docs).withColumn("global_order", F.expr("pos div 40").cast("int"))
+    # a document's last word by its text alone: only the first and the last piece of a split can be empty
+    ended = X.table(spark, sf, "documents").select("doc_id", F.rtrim("text", F.lit(" \n")).alias("t")).select("doc_id", F.when(F.col("t") != "", ((F.size(F.split("t", "[ \n]+")) - 1) / 40).cast("int")).alias("last"))
+    last = ended.agg(F.max("last")).first()[0]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n)).alias("global_order")
+    listed = ended.where("doc_id % 10 = 3").select("doc_id", upto(F.lit(last)))
+    items = listed.unionByName(ended.where("doc_id % 10 <> 3").groupBy("doc_id").agg(F.max("last").alias("last")).where("last is not null").select("doc_id", upto(F.col("last"))))
     spans = raw.select("doc_id", "global_order", F.expr("pos % 40 div 20").cast("int").alias("chunk"), "pos", F.when(F.col("pos") % 9 == 4, " ").otherwise(F.col("text")).alias("text"), F.col("raw_font").alias("font_name"), "size", "flags")
     said = F.array_join(F.transform("style_spans", lambda s: F.concat_ws("/", s["text"], s["char_count"].cast("string"), s["is_bold"].cast("int").cast("string"))), "|")
     return style.styled_items(items, spans).select("doc_id", "global_order", said.alias("spans"), "style_baseline_size", "style_span_count", "style_extract_status")
