@@ -58,6 +58,13 @@ def test_gaps_of_characters(spark, small_batches):
     assert got == {1: "a b,c de", 2: "whole", 3: "", 4: "", 5: "ab (c d"}
 
 
+def test_words_are_not_shuffled(spark):
+    """The documents are, whole, before they are taken apart; in baseline_size and span_merge nothing else is."""
+    for name in ("baseline_size", "span_merge"):
+        shown = plan(catalog.QUERIES[name](spark, SF))
+        assert shown.count("Exchange") == 1 and shown.index("Generate") < shown.index("Exchange"), name
+
+
 def test_no_fold_in_the_jvm(spark):
     """Folds of an expression a row took most of the time; styled_items joins once and merges spans once."""
     for name in ("char_gap_text", "span_merge", "styled_items"):
